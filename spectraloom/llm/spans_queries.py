@@ -42,17 +42,17 @@ _SPANS = (
     + _RESIDUES
     + """,
 windows as (
-  select peptide_id, at, substr(seq, at, 16) as w from (select peptide_id, seq, unnest(range(1, greatest(length(seq) - 14, 1))) as at from peptides)
+  select peptide_id, pos, substr(seq, pos, 16) as w from (select peptide_id, seq, unnest(range(1, greatest(length(seq) - 14, 1))) as pos from peptides)
 ),
 sources as (
   select peptide_id, w from windows
   union
-  select peptide_id, substr(r, at, 16) from (select peptide_id, reverse(seq) as r, unnest(range(1, greatest(length(seq) - 14, 1))) as at from peptides)
+  select peptide_id, substr(r, pos, 16) from (select peptide_id, reverse(seq) as r, unnest(range(1, greatest(length(seq) - 14, 1))) as pos from peptides)
 ),
 several as (select w from sources group by w having min(peptide_id) <> max(peptide_id)),
-hits as (select peptide_id, at, lag(at) over (partition by peptide_id order by at) as earlier from windows where w in (select w from several)),
-runs as (select peptide_id, at, sum(case when earlier is null or at > earlier + 16 then 1 else 0 end) over (partition by peptide_id order by at) as run from hits),
-spans as (select peptide_id, cast(min(at) as integer) as span_start, cast(max(at) + 15 as integer) as span_end from runs group by peptide_id, run)
+hits as (select peptide_id, pos, lag(pos) over (partition by peptide_id order by pos) as earlier from windows where w in (select w from several)),
+runs as (select peptide_id, pos, sum(case when earlier is null or pos > earlier + 16 then 1 else 0 end) over (partition by peptide_id order by pos) as run from hits),
+spans as (select peptide_id, cast(min(pos) as integer) as span_start, cast(max(pos) + 15 as integer) as span_end from runs group by peptide_id, run)
 """
 )
 
