@@ -29,7 +29,7 @@ _TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)>")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 _QUOTE = re.compile(r"“[^“”\n]{1,150}”|„[^„“”\n]{1,150}[“”]|«[^«»\n]{1,150}»")
-_SENTENCE = re.compile(r"[^.!?;…。！？；]+[.!?;…。！？；]*[\"'”»’]*\s*")
+_SENTENCE = re.compile(r"[^.!?;…。！？；]{1,20000}[.!?;…。！？；]*[\"'”»’]*\s*")
 _END = re.compile(r"[.!?;…。！？；][\"'”»’)]*\s*\Z")
 _FURNITURE = re.compile(r"[|»©]")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -130,18 +130,25 @@ class Model:
                     np.add.at(counts[o, :, k], _hash(codes, n), 1)
         self.table = np.log(counts / (counts - SMOOTHING).sum(axis=1, keepdims=True).clip(1)).astype("float32")
 
-    def score(self, sentences: list[str]) -> np.ndarray:
-        """Log-likelihood of each sentence in each language."""
-        codes, starts = _grams(sentences)
-        if len(codes) < ORDERS[-1]:
-            codes = np.concatenate([codes, np.full(ORDERS[-1], 32, dtype="uint64")])
-        # The n-grams at one place are added up before the sentences are. Those that
-        # reach into the next sentence go to the first; they weigh on all languages alike.
-        length = len(codes) - ORDERS[-1] + 1
-        each = self.table[0][_hash(codes, ORDERS[0])[:length]]
-        for o, n in enumerate(ORDERS[1:], 1):
-            each += self.table[o].take(_hash(codes, n)[:length], axis=0)
-        return np.add.reduceat(each, np.minimum(starts, length - 1), axis=0).astype("float64") * SCALE
+
+def score(table: np.ndarray, sentences: list[str], chunk: int = 500_000) -> np.ndarray:
+    """Log-likelihood of each sentence in each language, about ``chunk`` characters at a time."""
+    ends = np.cumsum([len(s) for s in sentences])
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(chunk, ends[-1], chunk)) + 1, len(sentences)])
+    return np.concatenate([_score(table, sentences[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def _score(table: np.ndarray, sentences: list[str]) -> np.ndarray:
+    codes, starts = _grams(sentences)
+    if len(codes) < ORDERS[-1]:
+        codes = np.concatenate([codes, np.full(ORDERS[-1], 32, dtype="uint64")])
+    # The n-grams at one place are added up before the sentences are. Those that
+    # reach into the next sentence go to the first; they weigh on all languages alike.
+    length = len(codes) - ORDERS[-1] + 1
+    each = table[0][_hash(codes, ORDERS[0])[:length]]
+    for o, n in enumerate(ORDERS[1:], 1):
+        each += table[o].take(_hash(codes, n)[:length], axis=0)
+    return np.add.reduceat(each, np.minimum(starts, length - 1), axis=0).astype("float64") * SCALE
 
 
 def infer(scores: np.ndarray, pages: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,11 +219,11 @@ def segments(df: DataFrame, model: Model, ident: str, text: str) -> DataFrame:
     posterior. Whole texts are read. Null texts and texts without sentences
     have no segments; rows of one id are documents of their own.
     """
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    shipped = df.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shipped.value
-        names = np.array(known.languages, dtype=object)
+        languages, log_share = shipped.value
+        names = np.array(languages, dtype=object)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -227,7 +234,7 @@ def segments(df: DataFrame, model: Model, ident: str, text: str) -> DataFrame:
                     continue
                 sentences = [s for own in found for _, s in own]
                 chars = np.array([len(s) for s in sentences])
-                post, _ = infer(known.score(sentences), page, chars.astype("float64"))
+                post, _ = infer(score(log_share, sentences), page, chars.astype("float64"))
                 best = post.argmax(axis=1)
                 fresh = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]) | (best[1:] != best[:-1])])
                 weight = np.add.reduceat(chars, fresh)
