@@ -144,11 +144,7 @@ def percentiles(summaries: DataFrame, probs: Sequence[float], size: int) -> Data
     most, counted over ties in its favour. Select the days before the call:
     ``percentiles(days.filter("day >= '2025-03-10'"), ...)``.
     """
-    first = summaries.agg(F.min("day"), F.max("day")).first()
-    span = (first[1] - first[0]).days if first[0] else 0
-    # Part 0 is the null day; the others follow by date.
-    part = F.when(F.col("day").isNull(), 0).otherwise(F.date_diff(F.col("day"), F.lit(first[0])) + 1)
-    whole = _merged(summaries.withColumn("part", part.cast("int")).drop("day"), ["grp", "measure"], span + 1, size)
+    whole = whole_summaries(summaries, size)
     kind = dict(summaries.dtypes)["grp"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,3 +158,68 @@ def percentiles(summaries: DataFrame, probs: Sequence[float], size: int) -> Data
 def summary_size(epsilon: float, levels: int = 8) -> int:
     """Tuples per summary so that the rank error stays below ``epsilon`` n over ``levels`` compressions."""
     return int(np.ceil(levels / (2 * epsilon)))
+
+
+#: Summaries that go to every executor at most; more of them meet their rows in bounded groups.
+MAX_BROADCAST_SUMMARIES = 10_000
+#: Rows of one group that a task ranks at once when the summaries are not broadcast.
+RANK_ROWS = 200_000
+
+
+def whole_summaries(summaries: DataFrame, size: int) -> DataFrame:
+    """(grp, measure, n, value, le, lt): the summaries of ``day_summaries`` merged over their days."""
+    first = summaries.agg(F.min("day"), F.max("day")).first()
+    span = (first[1] - first[0]).days if first[0] else 0
+    # Part 0 is the null day; the others follow by date.
+    part = F.when(F.col("day").isNull(), 0).otherwise(F.date_diff(F.col("day"), F.lit(first[0])) + 1)
+    return _merged(summaries.withColumn("part", part.cast("int")).drop("day"), ["grp", "measure"], span + 1, size)
+
+
+def place(values: np.ndarray, summary: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """For each value: at least how many of the summarised values are below it, and at most how many are not above it."""
+    n, value, le, lt = summary
+    below = np.searchsorted(value, values, side="left")
+    above = np.searchsorted(value, values, side="right")
+    return np.where(below > 0, le[np.maximum(below - 1, 0)], 0), np.where(above < len(value), lt[np.minimum(above, len(value) - 1)], n)
+
+
+def ranks(df: DataFrame, group: str, column: str, whole: DataFrame, keep: Sequence[str], max_broadcast: int = MAX_BROADCAST_SUMMARIES, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """The ``keep`` columns of every row with a value, with ``grp``, ``x``, ``rank_low``, ``rank_high`` and ``n``.
+
+    The value's ranks in its group lie in rank_low + 1 .. rank_high. Rows whose
+    value is null or NaN are left out, as are groups that ``whole`` lacks. A
+    kept column of one of these names comes out with an underscore behind it.
+    """
+    measure = whole.filter(F.col("measure") == column).select("grp", "n", "value", "le", "lt")
+    own = {"grp", "x", "rank_low", "rank_high", "n", "salt"}
+    rows = df.select(*[F.col(c).alias(c + "_" if c in own else c) for c in keep], F.col(group).alias("grp"), F.col(column).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", rank_low bigint, rank_high bigint, n bigint"
+    name = lambda grp: None if pd.isna(grp) else grp
+
+    def ranked(own: pd.DataFrame, summary: tuple) -> pd.DataFrame:
+        low, high = place(own["x"].to_numpy(), summary)
+        return own.assign(rank_low=low, rank_high=high, n=summary[0])
+
+    if measure.limit(max_broadcast + 1).count() <= max_broadcast:
+        known = {name(r["grp"]): (r["n"], np.array(r["value"]), np.array(r["le"]), np.array(r["lt"])) for r in measure.collect()}
+        shipped = df.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for grp, own in batch.groupby("grp", dropna=False, sort=False):
+                    if name(grp) in shipped.value:
+                        yield ranked(own, shipped.value[name(grp)])
+
+        return rows.mapInPandas(run, schema)
+
+    # Groups of more than rank_rows values are split; there are at most (values / rank_rows) of them.
+    wide = F.broadcast(measure.filter(F.col("n") > rank_rows).select(F.col("grp").alias("wide"), F.ceil(F.col("n") / rank_rows).cast("int").alias("salts")))
+    salted = rows.join(wide, F.col("grp").eqNullSafe(F.col("wide")), "left").withColumn("salt", F.floor(F.rand(7) * F.coalesce("salts", F.lit(1))).cast("int")).drop("wide", "salts")
+    copies = measure.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / rank_rows).cast("int") - 1)))
+
+    def both(own: pd.DataFrame, summary: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or summary.empty:
+            return own.drop(columns="salt").assign(rank_low=0, rank_high=0, n=0).iloc[:0]
+        return ranked(own.drop(columns="salt"), _load(summary)[0])
+
+    return salted.groupBy("grp", "salt").cogroup(copies.groupBy("grp", "salt")).applyInPandas(both, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.quantiles import day_summaries, percentiles, summary_size
+from spectraloom.llm.quantiles import day_summaries, percentiles, ranks, summary_size, whole_summaries
 from spectraloom.session import materialize, table
 
 COLUMNS = ("BaseFDR", "BinnedFDRMedian", "DeltaBinnedMedianMinusBase")
@@ -23,6 +23,14 @@ def p5_fdr_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(_days(spark, sf_dir), PROBS, SIZE).withColumnRenamed("grp", "ConditionName")
 
 
+def p5_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the BaseFDR of every row stands among those of its condition: bounds of its rank, and the percentile between them."""
+    whole = materialize(whole_summaries(_days(spark, sf_dir), SIZE), "quantile-whole")
+    placed = ranks(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName", "BaseFDR", whole, keep=["ScanNum", "CorePeptide", "LoadedAt"])
+    percentile = F.round((F.col("rank_low") + 1 + F.col("rank_high")) / 2 / F.col("n"), 6)
+    return placed.select("ScanNum", "CorePeptide", "LoadedAt", F.col("grp").alias("ConditionName"), F.col("x").alias("BaseFDR"), "rank_low", "rank_high", "n", percentile.alias("percentile"))
+
+
 def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each percentile held against exact counts over the whole table: is it off by no more than it says, and that by no more than EPSILON n?"""
     found = materialize(p5_fdr_percentiles(spark, sf_dir), "quantile-answers")
@@ -36,7 +44,7 @@ def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("ConditionName", "measure", "prob", "n", (off <= F.col("rank_error")).alias("within_stated"), (F.col("rank_error") <= EPSILON * F.col("n")).alias("within_epsilon"))
 
 
-QUERIES = {"p5_fdr_percentiles": p5_fdr_percentiles, "p5_within_bound": p5_within_bound}
+QUERIES = {"p5_value_ranks": p5_value_ranks, "p5_fdr_percentiles": p5_fdr_percentiles, "p5_within_bound": p5_within_bound}
 SQL = {
     "p5_within_bound": " union all ".join(
         f"""select ConditionName, '{name}' as measure, prob, count(*) as n, true as within_stated, true as within_epsilon

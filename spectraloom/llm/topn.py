@@ -15,7 +15,6 @@ BITS = 8
 HOT_SHARE = 0.001
 
 
-@F.pandas_udf("bigint")
 def _ordered_bits(scores: pd.Series) -> pd.Series:
     bits = (scores.to_numpy("float64") + 0.0).view("int64")
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits))
@@ -100,21 +99,22 @@ def cutoffs(codes: DataFrame, group: list[str], n: int, hot: DataFrame) -> DataF
     return found
 
 
-def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, ascending: bool = True) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, ascending: bool = True, unique: bool = False) -> DataFrame:
     """(group, rank_no, ident): of every group the ``n`` rows best by ``score``, then by smallest ``ident``.
 
     Rows whose group, score or ident is null, or whose score is NaN, take no
     part; infinite scores are ordinary. Rows alike in group, score and ident
-    count once. Groups of at most ``n`` rows come out whole. An empty table
+    count once; say ``unique`` if there are none, which saves a shuffle. Groups of at most ``n`` rows come out whole. An empty table
     gives no rows. Other columns are ignored. ``ident`` is of an integer type.
     """
     usable = df.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(ident).cast("bigint").alias("i")).filter("g is not null and s is not null and not isnan(s) and i is not null")
-    bits = _ordered_bits("s")
-    codes = materialize(usable.select("g", (bits if ascending else F.bitwise_not(bits)).alias("c"), "i"), "topn-codes")
+    bits = F.pandas_udf(_ordered_bits, "bigint")("s")
+    codes = usable.select("g", (bits if ascending else F.bitwise_not(bits)).alias("c"), "i")
+    codes = materialize(codes if unique else codes.distinct(), "topn-codes")
     sizes = codes.groupBy("g").count()
     total = codes.count()
     hot = materialize(sizes.filter(F.col("count") > max(1000, total * HOT_SHARE)).select("g"), "topn-hot")
     cuts = cutoffs(codes, ["g"], n, hot)
-    kept = _meet(codes, cuts, hot, ["g"]).filter(F.struct("c", "i") <= F.col("cut")).select("g", "c", "i").distinct()
+    kept = _meet(codes, cuts, hot, ["g"]).filter(F.struct("c", "i") <= F.col("cut")).select("g", "c", "i")
     rank = F.row_number().over(Window.partitionBy("g").orderBy("c", "i"))
     return kept.withColumn("rank_no", rank).filter(F.col("rank_no") <= n).select(F.col("g").alias(group), "rank_no", F.col("i").alias(ident))

@@ -13,7 +13,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of every scan by SpecEValue, then RowID."""
     rows = table(spark, sf_dir, "psm_syn").filter("ScanNum is not null and SpecEValue > 0 and not isnan(SpecEValue)")
     candidates = rows.groupBy("ScanNum", "Charge", "Peptide", "Protein", "SpecEValue").agg(F.min("RowID").alias("RowID"))
-    best = top_n(candidates, "ScanNum", "SpecEValue", "RowID", 3)
+    best = top_n(candidates, "ScanNum", "SpecEValue", "RowID", 3, unique=True)
     return best.select(F.col("ScanNum").alias("scannum"), "rank_no", F.col("RowID").alias("rowid"))
 
 
