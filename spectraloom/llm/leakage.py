@@ -13,10 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.session import materialize
+from spectraloom.session import fits, materialize
 
 #: Words of a shingle, and consecutive words that make a leak.
 SHINGLE, RUN = 5, 10
+#: Shingles of items (8 bytes each) that are sent to every executor at most.
+MAX_BROADCAST_SHINGLES = 1_000_000
 
 _TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)>")
 _WORDS = re.compile(r"[^\W_]+")
@@ -107,7 +109,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     listed = materialize(hashed.select(F.col("id").alias("w"), F.col("at").alias("inside"), "h"), "leak-shingles")
 
     wanted = listed.select("h").distinct()
-    # Spark broadcasts `wanted` if it is small and shuffles by shingle if not.
+    # The corpus is filtered in place by up to MAX_BROADCAST_SHINGLES shingles; beyond that both sides shuffle.
+    wanted = F.broadcast(wanted) if fits(wanted, MAX_BROADCAST_SHINGLES) else wanted
     seen = materialize(shingles(documents, doc_id, text).join(wanted, "h", "left_semi"), "leak-seen")
     counts = seen.groupBy("h").agg(F.count_distinct("id").alias("pages"))
     # A window with a shingle that no document holds is in no document.

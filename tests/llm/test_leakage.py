@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from spectraloom.llm import leakage
 from spectraloom.llm.leakage import leaks, words
 
 DOC, ITEM = "doc_id long, text string, start int, id string", "item_id long, passage string, h int"
@@ -24,8 +25,8 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("threshold", ["10m", "-1"])
-def test_against_brute_force(spark, threshold):
+@pytest.mark.parametrize("bound", [1_000_000, 10])
+def test_against_brute_force(spark, monkeypatch, bound):
     rng = random.Random(8)
     vocabulary = [f"w{n}" for n in range(12)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -37,11 +38,8 @@ def test_against_brute_force(spark, threshold):
         take = w[rng.randrange(len(w)) :][: rng.choice([8, 9, 10, 25])]
         docs.append((n, text(rng.randrange(30)) + ", " + " <i>".join(w.upper() for w in take) + " " + text(5), 1, "x"))
     docs += [(300, None, 1, "x"), (301, "", 1, "x"), docs[5], (302, text(30_000), 1, "x"), (None, docs[6][1], 1, "x")]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        got = leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(leakage, "MAX_BROADCAST_SHINGLES", bound)
+    got = leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()
     assert sorted(tuple(r) for r in got) == sorted(brute(docs, items))
 
 
