@@ -143,10 +143,16 @@ def kmers(seq: Column | str, k: int) -> Column:
 
 
 def positions_of(needle: Column, haystack: Column) -> Column:
-    """Starts, from 1, of all occurrences of ``needle``, overlapping ones too; none for an empty one."""
-    fits = (F.length(needle) > 0) & (F.length(haystack) >= F.length(needle))
-    starts = F.sequence(F.lit(1), F.length(haystack) - F.length(needle) + 1)
-    return F.when(fits, F.filter(starts, lambda at: F.substr(haystack, at, F.length(needle)) == needle)).otherwise(F.array().cast("array<int>"))
+    """Starts, from 1, of all occurrences of ``needle``, overlapping ones too; none for an empty one.
+
+    Two searches settle the usual cases of none and one; only repeats are scanned for.
+    """
+    none = F.array().cast("array<int>")
+    first = F.position(needle, haystack)
+    again = F.position(needle, haystack, first + 1)
+    starts = F.sequence(first, F.length(haystack) - F.length(needle) + 1)
+    every = F.filter(starts, lambda at: F.substr(haystack, at, F.length(needle)) == needle)
+    return F.when((F.length(needle) == 0) | (first == 0) | first.isNull(), none).when(again == 0, F.array(first)).otherwise(every)
 
 
 def flanked_positions(core: Column, n_flank: Column, c_flank: Column, seq: Column) -> Column:
