@@ -198,7 +198,8 @@ def minus_log10(score: Column | str) -> Column:
 
 
 def clip01(x: Column | str) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), either(x)))
+    """``x`` within [0, 1]; null stays null."""
+    return F.when(either(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), either(x))))
 
 
 def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -134,7 +134,7 @@ def t_quantile(p: float, df: int) -> float:
             f *= c * d
             if abs(1 - c * d) < 1e-14:
                 break
-        return front * (f if x > 0 else 0.0)
+        return front * (f - 1)
 
     low, high = 0.0, 1e6
     for _ in range(200):
