@@ -29,7 +29,7 @@ def p4_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = peptides.join(spans, "peptide_id", "left")
     shared = F.coalesce("shared", F.lit(0)).cast("bigint")
-    return joined.select("peptide_id", F.length("seq").alias("residues"), shared.alias("shared_residues"), F.coalesce("spans", F.lit(0)).cast("bigint").alias("spans"), F.round(shared / F.nullif(F.length("seq"), F.lit(0)), 6).alias("shared_frac"))
+    return joined.select("peptide_id", F.length("seq").cast("bigint").alias("residues"), shared.alias("shared_residues"), F.coalesce("spans", F.lit(0)).cast("bigint").alias("spans"), F.round(shared / F.nullif(F.length("seq"), F.lit(0)), 6).alias("shared_frac"))
 
 
 _RESIDUES = """
