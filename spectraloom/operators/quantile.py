@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.operators import ordered
 from spectraloom.operators.ordered import largest_group, running
+from spectraloom.session import materialize
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]):
@@ -26,6 +27,8 @@ def attach(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner")
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, v, n, upto, total): each distinct value with its count, how many values it and smaller ones have, and all."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Read three times below: what leads to it must not run three times.
+    counts = materialize(counts, "value-counts")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     large = largest_group(counts, keys) > ordered.MAX_GROUP_ROWS
     return attach(running(counts, keys, ["v"], {"upto": F.col("n")}, large), totals, keys)
