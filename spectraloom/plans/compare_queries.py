@@ -14,9 +14,13 @@ from spectraloom.session import materialize, table
 DIGITS = 9
 
 
+#: Added before rounding: means of short decimals may end in 5, and then the last bit of a sum would decide.
+NUDGE = 3.3e-14
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles rounded, so that engines that add in another order agree; -0.0 becomes 0.0."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + F.lit(NUDGE), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _rows(spark, sf_dir):
@@ -78,7 +82,7 @@ _OBS = f"""cores as (select *, {_C} as CorePeptide, regexp_replace({_C}, '[^A-Z]
 forms as (select RunFolder, ScanNum, CorePeptide, string_agg(distinct Peptide, ';' order by Peptide) as PartitionExactPeptideForms, count(distinct Peptide)::integer as PartitionExactPeptideFormCount, count(distinct Protein)::integer as PartitionProteinMappingCount from cores group by 1, 2, 3),
 obs as (select * from (select * from cores qualify row_number() over (partition by RunFolder, ScanNum, CorePeptide order by SpecEValue, PartitionFDR, Peptide, Protein, MSGFScore) = 1) join forms using (RunFolder, ScanNum, CorePeptide))
 """
-_R = lambda x, name, digits=DIGITS: f"round({x}, {digits}) + 0.0 as {name}"
+_R = lambda x, name, digits=DIGITS: f"round({x} + {NUDGE}::double, {digits}) + 0.0 as {name}"
 _SUMMARY = f"""summary as (select ScanNum, CorePeptide, count(*) as RowsAcrossBins, count(distinct RunFolder) as PartitionBinsRepresented, {_R("avg(PartitionFDR)", "BinnedFDRMean")}, {_R("median(PartitionFDR)", "BinnedFDRMedian")},
  {_R("min(PartitionFDR)", "BinnedFDRMin")}, {_R("max(PartitionFDR)", "BinnedFDRMax")}, {_R("stddev_samp(PartitionFDR)", "BinnedFDRStd")}, count(PartitionFDR) as BinnedFDRCount, string_agg(distinct RunFolder, ';' order by RunFolder) as BinnedRunFolders,
  {_R("min(MSGFScore)", "MSGFScoreMin")}, {_R("max(MSGFScore)", "MSGFScoreMax")}, {_R("max(PartitionFDR) - min(PartitionFDR)", "BinnedFDRRange")}, {_R("max(MSGFScore) - min(MSGFScore)", "MSGFScoreRange")} from obs group by 1, 2)
