@@ -56,7 +56,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_curve(spark, sf_dir).select("grp", "fdr_anchor", "n_train", "raw_corrected", "corrected"), 11)
+    return rounded(_curve(spark, sf_dir).select("grp", "fdr_anchor", "n_train", "raw_corrected", "corrected"))
 
 
 def curve_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def curve_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_predicted(spark, sf_dir).select("grp", "ScanNum", "PeptideKey", "ClassicFDR", "PredictedFDR"), 11)
+    return rounded(_predicted(spark, sf_dir).select("grp", "ScanNum", "PeptideKey", "ClassicFDR", "PredictedFDR"))
 
 
 def validation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,9 @@ SQL = {
     "correction_levels": "with " + _TRAIN + _LEVELS + f" select grp, {_R('ClassicFDR', 'ClassicFDR')}, rows, scans, peptides, {_R('mean_delta', 'mean_delta')}, {_R('mean_partitioned', 'mean_partitioned')}, {_R('median_delta', 'median_delta')}, {_R('median_partitioned', 'median_partitioned')} from levels",
     "rolling_windows": "with " + _TRAIN + _LEVELS + _WINDOWS + f" select grp, segment, start, {_names[0].replace(' ', ', ')}, {', '.join(_R(n, n) for n in _names[1].split())} from windows",
     "anchors": "with " + _TRAIN + _LEVELS + _WINDOWS + _ANCHORS + f" select grp, {_R('fdr_anchor', 'fdr_anchor')}, {_R('delta_anchor', 'delta_anchor')}, n_train, role from anchors",
-    "isotonic_curve": _UP_TO + f" select grp, {_R("fdr_anchor", "fdr_anchor", 11)}, n_train, {_R("y", "raw_corrected", 11)}, {_R("c", "corrected", 11)} from curve",
+    "isotonic_curve": _UP_TO + f" select grp, {_R("fdr_anchor", "fdr_anchor")}, n_train, {_R("y", "raw_corrected")}, {_R("c", "corrected")} from curve",
     "curve_reversals": _UP_TO + f", d as (select *, y - lag(y) over (partition by grp order by fdr_anchor) < -1e-15 as fall from curve) select grp, count(*) as anchors, coalesce(sum(fall::int), 0)::bigint as reversals, {_R('max(abs(c - y))', 'largest_adjustment', 8)} from d group by grp",
-    "apply_correction": _UP_TO + _APPLY + f" select grp, ScanNum, PeptideKey, {_R("ClassicFDR", "ClassicFDR", 11)}, {_R("PredictedFDR", "PredictedFDR", 11)} from predicted",
+    "apply_correction": _UP_TO + _APPLY + f" select grp, ScanNum, PeptideKey, {_R("ClassicFDR", "ClassicFDR")}, {_R("PredictedFDR", "PredictedFDR")} from predicted",
     "validation_windows": _UP_TO + _APPLY + ", win as (select * from (values " + ", ".join(f"({k}, {float(a)}::double, {float(b)}::double)" for k, (a, b) in enumerate(C.WINDOWS, 1)) + f""") v(window_index, lo, hi)), e as (select p.grp, window_index, PredictedFDR - PartitionedFDR as error from predicted p join win on ClassicFDR >= lo and (ClassicFDR < hi or (hi = 1 and ClassicFDR <= 1)))
  select grp, window_index, count(*) as n, {_R('avg(error)', 'mean_error', 7)}, {_R('avg(abs(error))', 'mae', 7)}, {_R('max(abs(error))', 'max_abs_error', 7)}, {_R('median(error)', 'median_error', 7)}, {_R('median(abs(error))', 'median_abs_error', 7)},
  {_R('quantile_cont(abs(error), 0.75)', 'q75_abs_error', 7)}, {_R('quantile_cont(abs(error), 0.9)', 'q90_abs_error', 7)}, {_R('quantile_cont(abs(error), 0.95)', 'q95_abs_error', 7)} from e group by 1, 2""",
