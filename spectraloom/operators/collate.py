@@ -43,3 +43,8 @@ def recovery_faults(summary: DataFrame) -> DataFrame:
     checks = {"sum": got + rest != total, "range": (got < 0) | (got > total), "layers": F.col("recovered_sic") + F.col("recovered_syn") < got, "sic": F.col("recovered_sic") > got, "fraction": F.abs(F.col("fraction") - F.try_divide(got, total)) > 1e-9}
     reasons = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda r: r.isNotNull())
     return summary.withColumn("faults", reasons).filter(F.size("faults") > 0)
+
+
+def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 1) -> DataFrame:
+    """``n`` rows in a random order that the keys and the seed fix."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.operators import bins, correction
 from spectraloom.plans import pipelines
-from spectraloom.sources import fasta, tables
+from spectraloom.operators.collate import recovery_faults, seeded_sample
+from spectraloom.sources import discovery, fasta, tables
 from spectraloom.streaming import fdr_stream
 
 
@@ -94,3 +95,26 @@ def test_pipelines(spark, tmp_path):
     assert cover > 10
     series = pipelines.removal_series(spark.createDataFrame([("ACDEFGHIK",), ("KIHGFEDCA",), ("LLLLMMMM",)], "Peptide string"), str(tmp_path / "removal"))
     assert {r.threshold: r.removed for r in series.collect()}[1.0] == 2
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("Soil_2", "Soil_10", "notes", "._Soil_3"):
+        (tmp_path / name).mkdir()
+    assert [(r["name"], r.replicate) for r in discovery.numbered_runs(spark, str(tmp_path)).collect()] == [("Soil_2", 2), ("Soil_10", 10)]
+    assert discovery.only_one(str(tmp_path), "no*").name == "notes"
+    with pytest.raises(ValueError):
+        discovery.only_one(str(tmp_path), "Soil_*")
+    with pytest.raises(ValueError):
+        discovery.size_series(str(tmp_path), "_10")
+    assert discovery.pair_samples(spark, ["a-1", "zz"], ["A_1", "b"]).collect() == [("a-1", "A_1"), ("zz", None)]
+    with pytest.raises(ValueError):
+        discovery.pair_samples(spark, ["a-1", "a_1"], ["A 1"])
+
+
+def test_sample_and_faults(spark):
+    rows = spark.range(100)
+    first = [r.id for r in seeded_sample(rows, ["id"], 10).collect()]
+    assert first == [r.id for r in seeded_sample(rows.repartition(7), ["id"], 10).collect()] and len(set(first)) == 10
+    make = lambda *v: spark.createDataFrame([v], "total long, recovered long, unrecovered long, recovered_sic long, recovered_syn long, fraction double")
+    assert recovery_faults(make(10, 9, 1, 8, 2, 0.9)).count() == 0
+    assert recovery_faults(make(10, 9, 2, 8, 0, 0.5)).first().faults == ["sum", "layers", "fraction"]
