@@ -19,6 +19,8 @@ from spectraloom.session import fits, materialize
 SHINGLE, RUN = 5, 10
 #: Shingles of items (8 bytes each) that are sent to every executor at most.
 MAX_BROADCAST_SHINGLES = 1_000_000
+#: Characters of text whose words a task holds at once, about.
+CHUNK = 2_000_000
 
 _TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)>")
 _WORDS = re.compile(r"[^\W_]+")
@@ -65,8 +67,12 @@ def shingles(df: DataFrame, ident: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            row, at, h = _hashes(batch["text"])
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "at": at, "h": h})
+            part = np.cumsum(batch["text"].str.len().to_numpy()) // CHUNK
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                own = batch.iloc[first:last]
+                row, at, h = _hashes(own["text"])
+                yield pd.DataFrame({"id": own["id"].to_numpy()[row], "at": at, "h": h})
 
     rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
     return rows.mapInPandas(run, "id bigint, at int, h bigint")
