@@ -17,7 +17,7 @@ from spectraloom.session import fits, materialize
 
 #: Words of a shingle, and consecutive words that make a leak.
 SHINGLE, RUN = 5, 10
-#: Shingles of items (8 bytes each) that are sent to every executor at most.
+#: Shingles of items, or ids of candidate pages (8 bytes each), that are sent to every executor at most.
 MAX_BROADCAST_SHINGLES = 1_000_000
 #: Characters of text whose words a task holds at once, about.
 CHUNK = 2_000_000
@@ -130,5 +130,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     named = owners.withColumn("w", F.xxhash64("window"))
     candidates = materialize(bounded.join(named, "w").groupBy("id").agg(F.collect_set(F.struct("item", "start", "window")).alias("found")), "leak-candidates")
     texts = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).filter("text is not null")
+    named_ids = candidates.select("id")
+    if fits(named_ids, MAX_BROADCAST_SHINGLES):
+        # Only the texts of candidates travel.
+        texts = texts.join(F.broadcast(named_ids), "id", "left_semi")
     proven = texts.join(candidates, "id").mapInPandas(_verify, "id bigint, item bigint").distinct()
     return proven.select(F.col("id").alias(doc_id), F.col("item").alias(item_id))
