@@ -17,6 +17,10 @@ PAIRWISE_SIZE = 128
 PIVOT_SIZE = 10_000
 #: Members of one side of a cell that one task compares at once.
 BLOCK = 1000
+#: One in so many sets is a pivot of the net's first round, second round.
+NET_SHARES = (64, 8)
+#: Greatest radius of the net's cells, as a share of the threshold.
+NET_HOME = 0.4
 
 
 def _near(pivots: list[list[str]], limits: dict[int, float] | None, home: float):
@@ -84,67 +88,109 @@ def _exact(threshold: float):
     return run
 
 
-def _in_cells(left: DataFrame, right: DataFrame, sizes: dict[int, tuple[int, int]], threshold: float) -> DataFrame:
-    """Exact joins within the cells; a cell of many members is cut into a grid of blocks of about BLOCK each."""
-    spark = left.sparkSession
-    grid = spark.createDataFrame([(k, max(1, -(-a // BLOCK)), max(1, -(-b // BLOCK))) for k, (a, b) in sizes.items()] or [(-2, 1, 1)], "cell int, rows int, columns int")
-    mine = left.join(F.broadcast(grid), "cell").withColumn("row", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
-    other = right.join(F.broadcast(grid), "cell").withColumn("column", F.pmod(F.xxhash64("id"), F.col("columns")).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+def _in_cells(left: DataFrame, right: DataFrame, grid: DataFrame, threshold: float) -> DataFrame:
+    """Exact joins within the cells; ``grid`` (cell, rows, columns) cuts a cell of many members into blocks of about BLOCK each."""
+    mine = left.join(grid, "cell").withColumn("row", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    other = right.join(grid, "cell").withColumn("column", F.pmod(F.xxhash64("id"), F.col("columns")).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     keys, take = ["cell", "row", "column"], ["cell", "row", "column", "id", "set"]
     return mine.select(take).groupBy(keys).cogroup(other.select(take).groupBy(keys)).applyInPandas(_exact(threshold), "a bigint, b bigint, jaccard double")
 
 
+def _ordered(side: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(id, set, n) with the values of each set from rare to frequent."""
+    exploded = side.select("id", F.explode("set").alias("value")).join(frequency, "value", "left")
+    rank = F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.xxhash64("value").alias("h"), "value")
+    ranked = exploded.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["value"]).alias("set"))
+    return ranked.withColumn("n", F.size("set"))
+
+
 def _signatures(side: DataFrame, threshold: float) -> DataFrame:
     """(id, n, key): similar sets have at least one key in common.
 
-    A set's values are ordered from rare to frequent. Two sets of Jaccard t
-    or more share at least o = ceil(t n) values of either, so the first
-    n - o + 2 values of both hold two common ones: those pairs are the keys.
-    Sets so small that they may share one value only, and sets too large for
-    pairs, also meet by the single values of their first n - o + 1.
+    Two sets of Jaccard t or more share at least o = ceil(t n) values of
+    either, so the first n - o + 2 values of both, from rare to frequent, hold
+    two common ones: those pairs are the keys. Sets so small that they may
+    share one value only, and sets too large for pairs, also meet by the
+    single values of their first n - o + 1. Keys are hashes: what they bring
+    together by chance is compared like the rest.
     """
     least = F.ceil(F.col("n") * threshold - 1e-9)
-    first = lambda more: F.slice("ordered", 1, F.least(F.col("n"), F.greatest(F.col("n") - least + more, F.lit(1))).cast("int"))
-    two = F.flatten(F.transform(first(2), lambda x, i: F.transform(F.slice(first(2), i + 2, F.size(first(2))), lambda y: F.concat_ws("\x1f", F.lit("2"), x, y))))
-    one = F.transform(first(1), lambda x: F.concat_ws("\x1f", F.lit("1"), x))
-    none = F.array().cast("array<string>")
+    first = lambda more: F.slice("set", 1, F.least(F.col("n"), F.greatest(F.col("n") - least + more, F.lit(1))).cast("int"))
+    two = F.flatten(F.transform(first(2), lambda x, i: F.transform(F.slice(first(2), i + 2, F.size(first(2))), lambda y: F.xxhash64(F.lit(2), x, y))))
+    one = F.transform(first(1), lambda x: F.xxhash64(F.lit(1), x))
+    none = F.array().cast("array<bigint>")
     few = F.col("n") * threshold <= 1
     large = F.col("n") >= threshold * PAIRWISE_SIZE
     keys = F.concat(F.when(F.col("n") <= PAIRWISE_SIZE, two).otherwise(none), F.when(few | large, one).otherwise(none))
     return side.select("id", "n", F.explode(keys).alias("key"))
 
 
-def _by_rare_values(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Exact join of sets that no pivot is near to."""
-    frequency = right.select(F.explode("set").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("f"))
-
-    def ordered(side: DataFrame) -> DataFrame:
-        exploded = side.select("id", F.explode("set").alias("value")).join(frequency, "value", "left")
-        rank = F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.xxhash64("value").alias("h"), "value")
-        ranked = exploded.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["value"]).alias("ordered"))
-        return ranked.withColumn("n", F.size("ordered"))
-
-    a = _signatures(ordered(left), threshold).select(F.col("id").alias("a"), F.col("n").alias("na"), "key")
-    b = _signatures(ordered(right), threshold).select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
+def _reached(left: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): the pivots within reach of each set, looked up by their rarest values and compared."""
+    a = _signatures(left, threshold).select(F.col("id").alias("a"), F.col("n").alias("na"), "key")
+    b = _signatures(pivots, threshold).select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
     fitting = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     found = a.join(b, "key").filter(fitting).select("a", "b").distinct()
-    with_sets = found.join(left.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    with_sets = found.join(left.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(pivots.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return with_sets.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return with_sets.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
+
+
+def _net(right: DataFrame, home: float) -> DataFrame:
+    """(id, set, n, cell, distance): every set with its nearest pivot of a net, at most ``home`` away.
+
+    The pivots are denser from round to round, so that a family of like sets
+    meets few pivots of its own in the first round that it meets any. What no
+    round places is far from all pivots and becomes one.
+    """
+    rounds, rest = [], right
+    for share in NET_SHARES:
+        pivots = rest.filter(F.pmod(F.xxhash64("id", F.lit(share)), F.lit(share)) == 0)
+        near = _reached(rest, pivots, 1 - home).groupBy("a").agg(F.min(F.struct((1 - F.col("jaccard")).alias("distance"), F.col("b").alias("cell"))).alias("nearest"))
+        placed = materialize(rest.join(near, rest["id"] == near["a"], "left").select("id", "set", "n", "nearest.cell", "nearest.distance"), "sets-net")
+        rounds.append(placed.filter("cell is not null"))
+        rest = placed.filter("cell is null").select("id", "set", "n")
+    out = rest.select("id", "set", "n", F.col("id").alias("cell"), F.lit(0.0).alias("distance"))
+    for placed in rounds:
+        out = out.unionByName(placed)
+    return out
+
+
+def _in_net(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Exact join by the cells of a net of pivots, of which there may be as many as there are right sets."""
+    frequency = materialize(right.select(F.explode("set").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("f")), "sets-frequency")
+    left, right = (materialize(_ordered(side, frequency), "sets-ordered") for side in (left, right))
+    members = _net(right, NET_HOME * threshold)
+    cells = members.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("members"))
+    wide = materialize(cells.filter("radius > 0"), "sets-wide")
+    # A cell of radius 0 holds its pivot alone (or equals of it): the distance to the pivot is the answer.
+    single = members.join(wide, "cell", "left_anti").select("id", "set", "n")
+    alone = _reached(left, single, threshold)
+    # Wider cells: a set may match a member if it is no farther from the pivot than the radius + 1 - threshold.
+    pivots = wide.select(F.col("cell").alias("id")).join(right, "id")
+    near = _reached(left, pivots, (1 - NET_HOME) * threshold).select(F.col("a").alias("id"), F.col("b").alias("cell"), (1 - F.col("jaccard")).alias("distance"))
+    bounded = near.join(wide.select("cell", "radius"), "cell").filter(F.col("distance") <= F.col("radius") + 1 - threshold + 1e-9)
+    copied = materialize(bounded.select("id", "cell").join(left.select("id", "set"), "id"), "sets-net-copied")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    grid = copied.groupBy("cell").agg(F.count(F.lit(1)).alias("copies")).join(wide, "cell").select("cell", blocks("copies").alias("rows"), blocks("members").alias("columns"))
+    return alone.unionByName(_in_cells(copied, members.select("cell", "id", "set"), grid, threshold))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 128, home: float | None = None) -> DataFrame:
     """(a, b, jaccard): ids of ``left`` and ``right`` (id bigint unique, set array<string> of distinct values) with Jaccard >= ``threshold``.
 
-    Pivots are a hash sample of the right sets, so that a family of like sets
-    with a share of the rows holds a pivot the more surely the larger it is.
-    A right set within ``home`` of its nearest pivot belongs to that cell. By
-    the triangle inequality a left set can only match members of a cell whose
-    pivot is nearer than the cell's radius + 1 - threshold: it is copied to
-    those cells and joined there exactly, in blocks. Right sets that no pivot
-    is near to, for which the bound would copy every left set, are met through
-    pairs of their rarest values and verified. Each right set is in one place,
-    so each pair comes out once. Null and empty sets match nothing.
+    Every right set belongs to the cell of its nearest pivot. By the triangle
+    inequality a left set can only match members of a cell whose pivot is
+    nearer than the cell's radius + 1 - threshold: it is copied to those cells
+    and joined there exactly, in blocks. Each right set is in one cell, so
+    each pair comes out once.
+
+    The first ``pivots`` pivots are a hash sample of the right sets, so that a
+    family with a share of the rows holds one the more surely the larger it
+    is; they are compared with every set. Right sets farther than ``home``
+    from all of them get cells of a finer net, whose many small cells have
+    radii of at most NET_HOME x threshold; a set's pivots in reach are then
+    looked up by their rarest values. Null and empty sets match nothing.
     """
     home = 0.8 * threshold if home is None else home
     if not 0 < threshold <= 1 or home >= threshold:
@@ -158,6 +204,7 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float, pivots: in
     limits = {cell: radius + 1 - threshold + 1e-9 for cell, (_, radius) in cells.items()}
     copied = materialize(left.mapInPandas(_near(chosen, limits, home), "id bigint, set array<string>, cell int"), "sets-copied")
     counts = {r["cell"]: r["count"] for r in copied.groupBy("cell").count().collect()}
-    within = _in_cells(copied, near, {cell: (counts.get(cell, 0), n) for cell, (n, _) in cells.items()}, threshold)
-    far = placed.filter("cell < 0").select("id", "set")
-    return within.unionByName(_by_rare_values(left, far, threshold))
+    blocks = [(cell, max(1, -(-counts.get(cell, 0) // BLOCK)), max(1, -(-n // BLOCK))) for cell, (n, _) in cells.items()]
+    grid = left.sparkSession.createDataFrame(blocks or [(-2, 1, 1)], "cell int, rows int, columns int")
+    within = _in_cells(copied, near, F.broadcast(grid), threshold)
+    return within.unionByName(_in_net(left, placed.filter("cell < 0").select("id", "set"), threshold))

@@ -14,9 +14,11 @@ def brute(left, right, t):
     return {(a, b) for a, x, _ in left for b, y, _ in right if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= t}
 
 
-@pytest.mark.parametrize("t,pivots", [(0.5, 8), (0.8, 8), (0.3, 2), (0.5, 0), (1.0, 4)])
-def test_against_brute_force(spark, monkeypatch, t, pivots):
+@pytest.mark.parametrize("t,pivots,shares,home", [(0.5, 8, (64, 8), 0.4), (0.8, 8, (8,), 0.4), (0.3, 2, (8, 2), 0.9), (0.5, 0, (8, 2), 0.8), (1.0, 4, (8,), 0.4)])
+def test_against_brute_force(spark, monkeypatch, t, pivots, shares, home):
     monkeypatch.setattr(setjoin, "BLOCK", 20)
+    monkeypatch.setattr(setjoin, "NET_SHARES", shares)
+    monkeypatch.setattr(setjoin, "NET_HOME", home)
     monkeypatch.setattr(setjoin, "PAIRWISE_SIZE", 12)
     rng = random.Random(3)
     family = [f"f{n}" for n in range(20)]
