@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import jaccard, kmers, lcs_fraction
@@ -12,24 +12,48 @@ from spectraloom.operators.ordered import running
 from spectraloom.session import materialize
 
 
-def kmer_conflicts(peptides: DataFrame, k: int = 3, min_shared: int = 3, min_jaccard: float = 0.5, min_lcs: float = 0.5, max_candidates: int = 500, max_conflicts: int = 25) -> DataFrame:
-    """(t1, d1, t2, d2, jaccard, lcs_frac, shared_kmers) from distinct (Peptide).
+#: Longest piece that peptides are met by; longer common substrings hold one of this length.
+PIECE = 12
 
-    Candidates share k-mers of the reversed t1 with t2. Per t1 the best
-    candidates by shared k-mers are kept, then by Jaccard index, then by the
-    longest common substring: each step only sees what the cheaper one left.
+
+def _pieces(text: Column, low: Column, high: Column) -> Column:
+    """The distinct substrings of ``low`` to ``high`` residues."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(text) - w + 1), lambda at: F.substr(text, at, w))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(low, high), of)))
+
+
+def kmer_conflicts(peptides: DataFrame, k: int = 3, min_shared: int = 3, min_jaccard: float = 0.5, min_lcs: float = 0.5, max_candidates: int | None = None, max_conflicts: int | None = None) -> DataFrame:
+    """(t1, d1, t2, d2, jaccard, lcs_frac, shared_kmers) from distinct (Peptide): all conflicts.
+
+    A conflict asks for a common substring of ``min_lcs`` of the shorter
+    peptide, so that the pieces of that length (PIECE at most) of the shorter
+    one, reversed, meet those of the longer one; the k-mers of what met are
+    then compared. A conflict of t1 with t2 is one of t2 with t1 too.
+    ``max_candidates`` and ``max_conflicts`` shorten a report: per t1 the best
+    pairs by shared k-mers, and of those that also pass the substring the best
+    by Jaccard index.
     """
-    forward = peptides.select(F.col("Peptide").alias("t2"), kmers("Peptide", k).alias("k2"))
-    backward = peptides.select(F.col("Peptide").alias("t1"), kmers(F.reverse("Peptide"), k).alias("k1"))
-    left = backward.select("t1", F.size("k1").alias("n1"), F.explode("k1").alias("kmer"))
-    right = forward.select("t2", F.size("k2").alias("n2"), F.explode("k2").alias("kmer"))
-    shared = left.join(right, "kmer").filter("t1 <> t2").groupBy("t1", "t2").agg(F.count(F.lit(1)).cast("int").alias("shared_kmers"), F.max("n1").alias("n1"), F.max("n2").alias("n2")).filter(F.col("shared_kmers") >= min_shared)
-    first = Window.partitionBy("t1").orderBy(F.desc("shared_kmers"), F.length("t2"), "t2")
-    capped = shared.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= max_candidates).drop("__rank")
-    alike = materialize(capped.withColumn("jaccard", jaccard(F.col("shared_kmers"), F.col("n1"), F.col("n2"))).filter(F.col("jaccard") >= min_jaccard).drop("n1", "n2"), "alike")
-    scored = alike.withColumn("d1", F.reverse("t1")).withColumn("lcs_frac", lcs_fraction(F.col("d1"), F.col("t2"))).filter(F.col("lcs_frac") >= min_lcs)
-    best = Window.partitionBy("t1").orderBy(F.desc("jaccard"), F.desc("lcs_frac"), F.desc("shared_kmers"), F.length("t2"), "t2")
-    kept = scored.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= max_conflicts)
+    least = lambda n: F.least(F.greatest(F.ceil(n * min_lcs - 1e-9), F.lit(1)), F.lit(PIECE)).cast("int")
+    sides = materialize(peptides.select(F.col("Peptide").alias("t"), F.size(kmers("Peptide", k)).alias("n")).filter(F.col("n") >= max(1, min_shared)), "sides")
+    # The shorter one has k - 1 residues more than it has k-mers, or still more.
+    shortest = F.least(F.greatest(F.lit(min_shared), F.ceil(F.col("n") * min_jaccard - 1e-9)) + k - 1, F.length("t"))
+    full = least(F.length("t"))
+    short = sides.select(F.col("t").alias("a"), F.col("n").alias("na"), F.explode(_pieces(F.reverse("t"), full, full)).alias("piece"))
+    long = sides.select(F.col("t").alias("b"), F.col("n").alias("nb"), F.explode(_pieces(F.col("t"), least(shortest), full)).alias("piece"))
+    fitting = (F.col("na") >= min_jaccard * F.col("nb") - 1e-9) & (F.col("nb") >= min_jaccard * F.col("na") - 1e-9)
+    ahead = (F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
+    met = materialize(short.join(long, "piece").filter(ahead & fitting).select("a", "b", "na", "nb").distinct(), "met")
+    common = F.size(F.array_intersect(kmers(F.reverse("a"), k), kmers("b", k)))
+    once = met.select(F.col("a").alias("t1"), F.col("b").alias("t2"), common.alias("shared_kmers"), F.col("na").alias("n1"), F.col("nb").alias("n2")).filter(F.col("shared_kmers") >= min_shared)
+    shared = once.withColumn("ends", F.explode(F.array(F.struct("t1", "t2"), F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2"))))).select("ends.*", "shared_kmers", "n1", "n2")
+    alike = materialize(shared.withColumn("jaccard", jaccard(F.col("shared_kmers"), F.col("n1"), F.col("n2"))).filter(F.col("jaccard") >= min_jaccard).drop("n1", "n2"), "alike")
+    if max_candidates is not None:
+        first = Window.partitionBy("t1").orderBy(F.desc("shared_kmers"), F.length("t2"), "t2")
+        alike = alike.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= max_candidates).drop("__rank")
+    kept = alike.withColumn("d1", F.reverse("t1")).withColumn("lcs_frac", lcs_fraction(F.col("d1"), F.col("t2"))).filter(F.col("lcs_frac") >= min_lcs)
+    if max_conflicts is not None:
+        best = Window.partitionBy("t1").orderBy(F.desc("jaccard"), F.desc("lcs_frac"), F.desc("shared_kmers"), F.length("t2"), "t2")
+        kept = kept.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= max_conflicts)
     return kept.select("t1", "d1", "t2", F.reverse("t2").alias("d2"), F.round("jaccard", 6).alias("jaccard"), F.round("lcs_frac", 6).alias("lcs_frac"), "shared_kmers")
 
 

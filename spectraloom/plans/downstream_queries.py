@@ -83,6 +83,11 @@ def rrollup_grubbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's report, with the limits of its SQL; all_conflicts has them all."""
+    return conflicts.kmer_conflicts(_residues(spark, sf_dir), max_candidates=500, max_conflicts=25)
+
+
+def all_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.kmer_conflicts(_residues(spark, sf_dir))
 
 
@@ -174,6 +179,12 @@ sh as (select a.Peptide as t1, b.Peptide as t2, count(*) as s from ok a join ok
 jc as (select t1, t2, s, s / (x.n + y.n - s) as j from sh join sz x on x.Peptide = t1 join sz y on y.Peptide = t2 where s / (x.n + y.n - s) >= 0.5),
 lc as (select *, (select max(case when contains(t2, substr(reverse(t1), i, n)) then n else 0 end) from (select unnest(range(1, length(t1) + 1)) as i), (select unnest(range(1, 101)) as n) where i + n <= length(t1) + 1) / least(length(t1), length(t2)) as l from jc)
 select t1, reverse(t1) as d1, t2, reverse(t2) as d2, round(j, 6) as jaccard, round(l, 6) as lcs_frac, s::integer as shared_kmers from lc where l >= 0.5 qualify row_number() over (partition by t1 order by j desc, l desc, s desc, length(t2), t2) <= 25"""
+_ALL_KMERS = """, f as (select distinct Peptide, substr(Peptide, p, 3) as w from (select Peptide, unnest(range(1, greatest(length(Peptide) - 1, 1))) as p from t)),
+ok as (select * from f where not regexp_matches(w, '[^ACDEFGHIKLMNPQRSTVWY]')), sz as (select Peptide, count(*) as n from ok group by 1),
+sh as (select a.Peptide as t1, b.Peptide as t2, count(*) as s from ok a join ok b on reverse(a.w) = b.w where a.Peptide <> b.Peptide group by 1, 2 having count(*) >= 3),
+jc as (select t1, t2, s, s / (x.n + y.n - s) as j from sh join sz x on x.Peptide = t1 join sz y on y.Peptide = t2 where s / (x.n + y.n - s) >= 0.5),
+lc as (select *, (select max(case when contains(t2, substr(reverse(t1), i, n)) then n else 0 end) from (select unnest(range(1, length(t1) + 1)) as i), (select unnest(range(1, greatest(length(t1), 1) + 1)) as n) where i + n <= length(t1) + 1) / least(length(t1), length(t2)) as l from jc)
+select t1, reverse(t1) as d1, t2, reverse(t2) as d2, round(j, 6) as jaccard, round(l, 6) as lcs_frac, s::integer as shared_kmers from lc where l >= 0.5"""
 _EDGES = f"""e as (select * from conflicts where t1 is not null and t2 is not null), th as (select unnest({THRESHOLDS}::double[]) as threshold), q as (select threshold, t1, t2 from e, th where jaccard >= threshold and lcs_frac >= threshold),
 gone as (select threshold, p as Peptide, count(*) as edges from (select threshold, unnest([t1, t2]) as p from q) group by 1, 2)"""
 _COVER = """, s as (select concat('S', cast(('0x' || substr(md5(concat(Peptide, '|', Protein)), 1, 1)) as integer) % 4) as sample, Peptide, Protein from edges),
@@ -187,7 +198,7 @@ QUERIES = {
     "coverage": coverage, "coverage_matrix": coverage_matrix, "coverage_heatmap": coverage_heatmap,
     "protein_rollup_sum": _rollup("Protein", "sum"), "protein_rollup_mean": _rollup("Protein", "mean"), "protein_rollup_median": _rollup("Protein", "median"), "protein_rollup_requires_unique": _rollup("Protein", "sum", "requires_unique"),
     "cluster_rollup_sum": _rollup("Cluster", "sum"), "cluster_rollup_median": _rollup("Cluster", "median"), "rrollup": rrollup, "rrollup_grubbs": rrollup_grubbs,
-    "kmer_conflicts": kmer_conflicts, "conflict_stats": conflict_stats, "conflict_cull_series": conflict_cull_series, "removal_counts": removal_counts, "greedy_prune": greedy_prune, "native_cluster": native_cluster,
+    "kmer_conflicts": kmer_conflicts, "all_conflicts": all_conflicts, "conflict_stats": conflict_stats, "conflict_cull_series": conflict_cull_series, "removal_counts": removal_counts, "greedy_prune": greedy_prune, "native_cluster": native_cluster,
     "qc_overlap": qc_overlap, "qc_ks": qc_ks, "qc_jsd": qc_jsd, "qc_mass": qc_mass, "removal_gain_loss": removal_gain_loss, "entity_counts": entity_counts, "filter_gains": filter_gains,
 }
 SQL = {
@@ -206,6 +217,7 @@ SQL = {
     "cluster_rollup_sum": _roll("Cluster", "sum"), "cluster_rollup_median": _roll("Cluster", "median"),
     "rrollup": oracle("fx_crosstab_long", then=_RR + " select Protein, " + ", ".join(_R(f"median({s} * f)", s, 4) for s in SAMPLES) + f", {_FACTS} from fac group by Protein"),
     "kmer_conflicts": "with " + _T + _KMERS,
+    "all_conflicts": "with " + _T + _ALL_KMERS,
     "conflict_stats": "with g as (select t1, count(*) as n from conflicts where t1 is not null and t2 is not null group by 1) select coalesce(sum(n), 0)::bigint as edges, count(*) as t1_with_conflicts, max(n) as max_out_degree from g",
     "conflict_cull_series": "with " + _T + ", " + _EDGES + """, s as (select threshold, count(*) as database, count(edges) as removed, count(*) - count(edges) as kept from t cross join th left join gone using (threshold, Peptide) group by 1)
  select s.*, (select count(*) from q where q.threshold = s.threshold) as qualifying_edges, (select count(*) from q where q.threshold = s.threshold and t1 not in (select Peptide from gone g where g.threshold = s.threshold) and t2 not in (select Peptide from gone g where g.threshold = s.threshold)) as remaining_edges,

@@ -8,6 +8,7 @@ from spectraloom.functions import scalars as S
 from spectraloom.operators import bins, compare, conflicts, correction, crosstab, cull, digest, ordered, psm, qc
 from spectraloom.operators.fdr import best_per_scan, entity_fdr, monotone_fdr
 from spectraloom.operators.quantile import exact_percentiles
+from spectraloom.plans import pipelines
 
 
 def one(spark, value):
@@ -226,3 +227,39 @@ def test_quality_control(spark):
     assert (hits.targets, hits.hits, hits.fraction) == (2, 1, 0.5)
     both = qc.overlap(make("AB", "CC"), make("BA", "AB", "CC")).first()
     assert (both.targets, both.decoys, both.overlap, both.palindromes) == (2, 3, 2, 1)
+
+
+def test_all_conflicts(spark, monkeypatch):
+    def words(x):
+        return {x[i : i + 3] for i in range(len(x) - 2)}
+
+    def substring(a, b):
+        return max((n for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) if a[i : i + n] in b), default=0)
+
+    rng = random.Random(5)
+    core = "ACDEFGHIKLMNPQ"
+    # A family of like peptides, in which the reversed core meets far more than 25 others, and unlike ones.
+    peptides = {core[::-1]} | {core[:i] + a + core[i + 1 :] for i in (0, 1, 12, 13) for a in "RSTVWYAC"} | {"".join(rng.choice("ACDE") for _ in range(rng.randrange(2, 14))) for _ in range(80)}
+    want = {}
+    for a in peptides:
+        for b in peptides - {a}:
+            x, y = words(a[::-1]), words(b)
+            j, n = len(x & y) / max(1, len(x | y)), substring(a[::-1], b) / min(len(a), len(b))
+            if len(x & y) >= 3 and j >= 0.5 and n >= 0.5:
+                want[a, b] = (round(j, 6), round(n, 6), len(x & y))
+    frame = spark.createDataFrame([(p,) for p in sorted(peptides)], "Peptide string")
+    for limit in (12, 4):
+        monkeypatch.setattr(conflicts, "PIECE", limit)
+        got = {(r.t1, r.t2): (r.jaccard, r.lcs_frac, r.shared_kmers) for r in conflicts.kmer_conflicts(frame).collect()}
+        assert got == want and sum(a == core[::-1] for a, _ in got) > 25
+    report = conflicts.kmer_conflicts(frame, max_conflicts=25)
+    assert report.filter(F.col("t1") == core[::-1]).count() == 25
+
+
+def test_removal_series_feeds_on_all_conflicts(spark, tmp_path):
+    core = "ACDEFGHIKLMNPQ"
+    like = [core[:i] + a + core[i + 1 :] for i in (0, 13) for a in "FGHIKLMNRSTVWY"]
+    frame = spark.createDataFrame([(p,) for p in sorted({core[::-1], *like})], "Peptide string")
+    series = {r.threshold: r for r in pipelines.removal_series(frame, str(tmp_path / "out"), [0.6]).collect()}
+    # The core conflicts with each of the 28 others, and each of them with it.
+    assert series[0.6].qualifying_edges == 56 and series[0.6].kept == 0 and series[0.6].remaining_edges == 0
