@@ -77,6 +77,24 @@ def rollup(rows: DataFrame, entity: str, samples: Sequence[str], how: str = "sum
     return attach(_medians(_unfolded(kept, entity, samples), entity, samples), entity_facts(kept, entity), [entity])
 
 
+def with_annotations(rolled: DataFrame, rows: DataFrame, entity: str, mode: str = "all_matches") -> DataFrame:
+    """Adds what the annotated ``rows`` say of each entity: Cluster, Gene and Function of a protein, a name for a cluster, and Unique to Cluster."""
+    kept = by_mode(rows, mode, entity).filter(F.col(entity).isNotNull())
+    own = F.bool_or("Unique to Cluster").alias("Unique to Cluster")
+    if entity == "Cluster":
+        name = F.concat(F.lit("Cluster "), F.coalesce(F.col("Cluster").try_cast("bigint").cast("string"), "Cluster"))
+        return attach(rolled, kept.groupBy(entity).agg(own), [entity]).withColumns({"Protein": name, "Gene": F.lit(""), "Function": F.lit("")})
+    carried = [F.min(F.nullif(F.col(c), F.lit(""))).alias(c) for c in ("Cluster", "Gene", "Function")]
+    return attach(rolled, kept.groupBy(entity).agg(*carried, own), [entity])
+
+
+def covered_only(rolled: DataFrame, rows: DataFrame, entity: str, covered: DataFrame) -> DataFrame:
+    """The entities with a protein in the coverage table; the annotated ``rows`` tell a protein's cluster."""
+    proteins = covered.select("Protein").distinct()
+    ids = proteins if entity == "Protein" else rows.join(proteins, "Protein", "left_semi").select(entity).distinct()
+    return rolled.join(ids, entity, "left_semi")
+
+
 def _unfolded(rows: DataFrame, entity: str, samples: Sequence[str]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(s).alias("x")) for s in samples]))
     return rows.select(entity, "PeptideFlanked", "Protein", pairs.alias("p")).select(entity, "PeptideFlanked", "Protein", "p.*") if entity != "Protein" else rows.select("Protein", "PeptideFlanked", pairs.alias("p")).select("Protein", "PeptideFlanked", "p.*")
@@ -180,6 +198,16 @@ def coverage(rows: DataFrame, proteins: DataFrame) -> DataFrame:
     return counts.join(covered, ["sample", "Protein"], "left").select("sample", "Protein", "num_pep", (100 * F.coalesce("count", F.lit(0)) / F.greatest("residues", F.lit(1))).alias("Coverage"))
 
 
+def with_enough_peptides(covered: DataFrame, rows: DataFrame, least: int, scope: str = "per_sample") -> DataFrame:
+    """Coverage of proteins with ``least`` distinct peptides or more, in the sample or (``global``) over all samples of ``rows``."""
+    if scope == "per_sample":
+        return covered.filter(F.col("num_pep") >= least)
+    if scope != "global":
+        raise ValueError(f"no such scope: {scope}")
+    known = rows.groupBy("Protein").agg(F.count_distinct("PeptideFlanked").alias("n")).filter(F.col("n") >= least)
+    return covered.join(known, "Protein", "left_semi")
+
+
 def coverage_matrix(covered: DataFrame, samples: Sequence[str], least: int = 1) -> DataFrame:
     kept = covered.filter(F.col("num_pep") >= least)
     return kept.groupBy("Protein").pivot("sample", list(samples)).agg(F.first("Coverage")).fillna(0.0)

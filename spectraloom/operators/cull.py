@@ -84,6 +84,12 @@ def recovery_summary(by_scan: DataFrame) -> DataFrame:
     return counts.crossJoin(text).withColumn("unrecovered", F.col("total") - F.col("recovered")).withColumn("fraction", F.round(F.coalesce(F.try_divide(F.col("recovered"), F.col("total")), F.lit(0.0)), 9))
 
 
+def recovery_distributions(by_scan: DataFrame) -> DataFrame:
+    """(layer, partitions, scans): in how many partitions the scans were recovered, by SIC, by SYN, and seen in SYN."""
+    layers = F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("partitions")) for c in ("Recovered", "RecoveredSIC", "AddedSYN", "ObservedSYN")])
+    return by_scan.select(F.explode(layers).alias("l")).groupBy("l.layer", "l.partitions").agg(F.count(F.lit(1)).alias("scans"))
+
+
 def file_summary(sic: DataFrame, syn: DataFrame, culled: DataFrame, partition: str) -> DataFrame:
     """Per partition: rows and scans of each input, rows kept from each layer, distinct peptides and proteins kept."""
     a = sic.groupBy(partition).agg(F.count(F.lit(1)).alias("sic_rows"), F.count_distinct("ScanNum").alias("sic_scans"))

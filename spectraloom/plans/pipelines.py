@@ -72,14 +72,19 @@ def binning_run(reference: DataFrame, sic: DataFrame, syn: DataFrame, out: str,
     summary = collect.core_summary(collect.observations(rows))
     wide = compare.with_pass_columns(compare.compare(compare.base_summary(reference), summary), [0.01, 0.05])
     tables.write_tsv(cull.file_summary(sic, syn, culled, "RunFolder"), f"{out}/culling_by_file", one_file=True)
-    tables.write_tsv(cull.recovery_by_scan(keys, culled, syn, "RunFolder"), f"{out}/recovery_by_scan")
+    by_scan = materialize(cull.recovery_by_scan(keys, culled, syn, "RunFolder"), "recovery")
+    tables.write_tsv(by_scan, f"{out}/recovery_by_scan")
+    tables.write_tsv(cull.recovery_distributions(by_scan), f"{out}/recovery_distributions", one_file=True)
     wide.write.parquet(f"{out}/wide")
     return wide.sparkSession.read.parquet(f"{out}/wide")
 
 
-def derive_formula(wide: DataFrame, group: str, window: int = 100, stride: int = 10) -> DataFrame:
-    """The monotone correction curve of every condition."""
-    levels = materialize(correction.fdr_levels(correction.training_rows(wide, group)), "levels")
+def derive_formula(wide: DataFrame, group: str, window: int = 100, stride: int = 10, held_out: float = 0.0) -> DataFrame:
+    """The monotone correction curve of every condition, from all rows but the share ``held_out`` for tests."""
+    if not 0 <= held_out < 1:
+        raise ValueError("0 <= held_out < 1")
+    train = correction.training_rows(wide, group)
+    levels = materialize(correction.fdr_levels(train.filter(~correction.test_flag(held_out)) if held_out else train), "levels")
     return materialize(correction.monotone_anchors(correction.anchors(correction.rolling_windows(levels, window, stride))), "curve")
 
 
@@ -90,18 +95,24 @@ def apply_formula(scored: DataFrame, curve: DataFrame, group: str) -> DataFrame:
     return fixed.withColumns({"FDR": F.col("CorrectedFDR"), "FDRCorrectionDelta": F.col("CorrectedFDR") - F.col("OriginalFDR")}).drop("grp")
 
 
-def downstream(scored: DataFrame, proteins: DataFrame, sample: str, out: str, rollup: str = "sum", mode: str = "all_matches", stages: Sequence[tuple] = (("MSMSScore", 8.0), ("FDR", 0.05))) -> None:
-    """Filter, crosstab, annotate, cover and roll up all samples. ``proteins`` has id, header and seq."""
+def downstream(scored: DataFrame, proteins: DataFrame, sample: str, out: str, rollup: str = "sum", mode: str = "all_matches", stages: Sequence[tuple] = (("MSMSScore", 8.0), ("FDR", 0.05)), least_peptides: int = 1, scope: str = "per_sample") -> None:
+    """Filter, crosstab, annotate, cover and roll up all samples. ``proteins`` has id, header and seq.
+
+    Rollups hold the entities of the coverage table, which asks for
+    ``least_peptides`` in the sample or (``scope`` global) over all samples.
+    """
     (metric, threshold), (metric2, threshold2) = stages
     kept = materialize(psm.filtered_targets(scored, metric, threshold, metric2, threshold2).withColumnsRenamed({sample: "sample", "ParentIonIntensity": "Intensity"}), "filtered")
     samples = sorted((r["sample"] for r in kept.select("sample").distinct().collect()), key=natural)
     wide = crosstab.crosstab(crosstab.reduced(kept, "max"), samples)
     marked = materialize(crosstab.annotated(wide, crosstab.header_info(proteins, "id", "header")), "annotated")
     tables.write_tsv(marked, f"{out}/peptide_crosstab_annotated")
-    covered = crosstab.coverage(kept, proteins.select(F.col("id").alias("Protein"), "seq"))
+    found = crosstab.coverage(kept, proteins.select(F.col("id").alias("Protein"), "seq").filter("seq <> ''"))
+    covered = materialize(crosstab.with_enough_peptides(found, kept, least_peptides, scope), "covered")
     tables.write_tsv(crosstab.coverage_matrix(covered, samples), f"{out}/grouped_coverage")
     for entity, name in (("Protein", "protein"), ("Cluster", "clustered")):
-        tables.write_tsv(crosstab.rollup(marked, entity, samples, rollup, mode), f"{out}/{name}_crosstab_annotated")
+        rolled = crosstab.covered_only(crosstab.rollup(marked, entity, samples, rollup, mode), marked, entity, covered)
+        tables.write_tsv(crosstab.with_annotations(rolled, marked, entity, mode), f"{out}/{name}_crosstab_annotated")
 
 
 def removal_series(peptides: DataFrame, out: str, thresholds: Sequence[float] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> DataFrame:

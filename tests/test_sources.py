@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spectraloom.operators import bins, correction
+from spectraloom.operators import bins, correction, cull
 from spectraloom.plans import pipelines
 from spectraloom.operators.collate import recovery_faults, seeded_sample
 from spectraloom.sources import discovery, fasta, tables
@@ -97,6 +97,34 @@ def test_pipelines(spark, tmp_path):
     assert {r.threshold: r.removed for r in series.collect()}[1.0] == 2
 
 
+def test_rollups_hold_covered_proteins_with_annotations(spark, tmp_path):
+    proteins = spark.createDataFrame([("p1", "p1 enzyme OS=Org GN=g1 Cluster=0001", "MKAAAAAAGHKMCCCCCCGHK"), ("p2", "p2 enzyme OS=Org GN=g2 Cluster=0002", "MKAAAAAAGHK"), ("p3", "p3 lost OS=Org GN=g3 Cluster=0003", None)], "id string, header string, seq string")
+    row = lambda s, n, peptide, protein: (s, n, peptide, protein, 9000.0, 1e-12, 0.0, 0.001, 12.0, False)
+    # p1 has two peptides, but one in each sample; p3 has no sequence.
+    scored = [row("S1", 1, "K.AAAAAAGHK.M", "p1"), row("S2", 2, "K.MCCCCCCGHK.-", "p1"), row("S1", 3, "K.AAAAAAGHK.-", "p2"), row("S1", 4, "K.LLLLLLGHK.-", "p3")]
+    frame = spark.createDataFrame(scored, "Sample string, ScanNum long, Peptide string, Protein string, ParentIonIntensity double, SpecEValue double, QValue double, FDR double, MSMSScore double, IsDecoy boolean")
+    for out, options, want in (("all", {}, {"p1", "p2"}), ("global", {"least_peptides": 2, "scope": "global"}, {"p1"}), ("own", {"least_peptides": 2}, set())):
+        pipelines.downstream(frame, proteins, "Sample", str(tmp_path / out), **options)
+        if want:
+            rolled = {r.Protein: r for r in tables.read_tsv(spark, str(tmp_path / out / "protein_crosstab_annotated")).collect()}
+            clusters = {r.Protein for r in tables.read_tsv(spark, str(tmp_path / out / "clustered_crosstab_annotated")).collect()}
+            assert set(rolled) == want and clusters == {f"Cluster {p[1]}" for p in want}
+            assert (rolled["p1"].Gene, rolled["p1"].Function, int(rolled["p1"].Cluster)) == ("g1", "enzyme", 1)
+
+
+def test_recovery_distributions(spark):
+    by_scan = spark.createDataFrame([(1, 2, 1, 1, 3), (2, 0, 0, 0, 1), (3, 2, 2, 0, 2)], "ScanNum long, Recovered long, RecoveredSIC long, AddedSYN long, ObservedSYN long")
+    got = {(r.layer, r.partitions): r.scans for r in cull.recovery_distributions(by_scan).collect()}
+    assert got == {("Recovered", 2): 2, ("Recovered", 0): 1, ("RecoveredSIC", 1): 1, ("RecoveredSIC", 0): 1, ("RecoveredSIC", 2): 1, ("AddedSYN", 1): 1, ("AddedSYN", 0): 2, ("ObservedSYN", 3): 1, ("ObservedSYN", 1): 1, ("ObservedSYN", 2): 1}
+
+
+def test_derive_formula_holds_rows_out(spark):
+    wide = spark.createDataFrame([("a", n, f"PEP{n}", n / 400, n / 500) for n in range(400)], "g string, ScanNum long, CorePeptide string, BaseFDR double, BinnedFDRMedian double")
+    rows = lambda share: pipelines.derive_formula(wide, "g", window=1000, held_out=share).agg(F.sum("n_train")).first()[0]
+    train = correction.training_rows(wide, "g")
+    assert rows(0.0) == 400 and rows(0.3) == train.filter(~correction.test_flag(0.3)).count() < 400
+
+
 def test_discovery(spark, tmp_path):
     for name in ("Soil_2", "Soil_10", "notes", "._Soil_3"):
         (tmp_path / name).mkdir()
