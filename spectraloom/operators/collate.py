@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,12 @@ def set_changes(df: DataFrame, column: str, before: str, after: str) -> DataFram
 
 
 def gains(baseline: DataFrame, corrected: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per key: counts before, after and their difference for each column."""
+    """Per key, null being one of its own: counts before, after and their difference for each column."""
     a = baseline.select(*keys, *[F.col(c).alias(f"Baseline{c}") for c in columns])
-    b = corrected.select(*keys, *[F.col(c).alias(f"Corrected{c}") for c in columns])
-    joint = a.join(b, list(keys), "full").fillna(0)
+    b = corrected.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"Corrected{c}") for c in columns])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    counts = [f"{side}{c}" for side in ("Baseline", "Corrected") for c in columns]
+    joint = a.join(b, same, "full").select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], *counts).fillna(0, counts)
     return joint.withColumns({f"{c}Gain": F.col(f"Corrected{c}") - F.col(f"Baseline{c}") for c in columns})
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars as S
-from spectraloom.operators import bins, compare, conflicts, correction, crosstab, cull, digest, ordered, psm, qc
+from spectraloom.operators import bins, collate, compare, conflicts, correction, crosstab, cull, digest, ordered, psm, qc
 from spectraloom.operators.fdr import best_per_scan, entity_fdr, monotone_fdr
 from spectraloom.operators.quantile import exact_percentiles
 from spectraloom.plans import pipelines
@@ -263,3 +263,9 @@ def test_removal_series_feeds_on_all_conflicts(spark, tmp_path):
     series = {r.threshold: r for r in pipelines.removal_series(frame, str(tmp_path / "out"), [0.6]).collect()}
     # The core conflicts with each of the 28 others, and each of them with it.
     assert series[0.6].qualifying_edges == 56 and series[0.6].kept == 0 and series[0.6].remaining_edges == 0
+
+
+def test_gains_keep_the_null_key(spark):
+    side = lambda rows: spark.createDataFrame(rows, "g string, n long")
+    got = collate.gains(side([(None, 3), ("a", 1)]), side([(None, 5), ("b", 2)]), ["g"], ["n"])
+    assert {tuple(r) for r in got.collect()} == {(None, 3, 5, 2), ("a", 1, 0, -1), ("b", 0, 2, 2)}
