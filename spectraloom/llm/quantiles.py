@@ -55,6 +55,22 @@ def merge(summaries: Sequence[tuple], size: int) -> tuple:
     return compress((total, value, le, lt), size)
 
 
+def pile_up(pile: list[list[tuple]], summary: tuple, size: int) -> None:
+    """Adds a summary to the lowest level of ``pile``; FAN_IN of one level become one of the next, so that a value goes through few compressions."""
+    for level in range(len(pile) + 1):
+        if level == len(pile):
+            pile.append([])
+        pile[level].append(summary)
+        if len(pile[level]) < FAN_IN:
+            return
+        summary, pile[level] = merge(pile[level], size), []
+
+
+def whole_pile(pile: list[list[tuple]], size: int) -> tuple:
+    rest = [s for level in pile for s in level]
+    return rest[0] if len(rest) == 1 else merge(rest, size)
+
+
 def answer(summary: tuple, probs: Sequence[float]) -> list[tuple[float, float, int, int]]:
     """(prob, value, rank, error): the best known value for rank ceil(p n), and by how many ranks it may be off."""
     n, value, le, lt = summary
@@ -95,11 +111,10 @@ def day_summaries(df: DataFrame, group: str, columns: Sequence[str], day: str, s
         part = TaskContext.get().partitionId()
         waiting: dict[tuple, list[np.ndarray]] = {}
         held: dict[tuple, int] = {}
-        done: dict[tuple, tuple] = {}
+        done: dict[tuple, list[list[tuple]]] = {}
 
         def settle(key: tuple) -> None:
-            fresh = summarise(np.concatenate(waiting.pop(key)), size)
-            done[key] = merge([done[key], fresh], size) if key in done else fresh
+            pile_up(done.setdefault(key, []), summarise(np.concatenate(waiting.pop(key)), size), size)
             held[key] = 0
 
         for batch in batches:
@@ -116,7 +131,7 @@ def day_summaries(df: DataFrame, group: str, columns: Sequence[str], day: str, s
         for key in list(waiting):
             settle(key)
         names = ["grp", "day", "measure", "part", "n", "value", "le", "lt"]
-        yield pd.DataFrame([_row(key, s) for key, s in done.items()], columns=names)
+        yield pd.DataFrame([_row(key, whole_pile(pile, size)) for key, pile in done.items()], columns=names)
 
     parts = materialize(rows.mapInPandas(leaves, schema), "quantile-leaves")
     return _merged(parts, ["grp", "day", "measure"], parts.agg(F.max("part")).first()[0] or 0, size)
@@ -156,7 +171,12 @@ def percentiles(summaries: DataFrame, probs: Sequence[float], size: int) -> Data
 
 
 def summary_size(epsilon: float, levels: int = 8) -> int:
-    """Tuples per summary so that the rank error stays below ``epsilon`` n over ``levels`` compressions."""
+    """Tuples per summary so that the rank error stays below ``epsilon`` n over ``levels`` compressions.
+
+    There is one for the chunk, and per FAN_IN-fold of chunks, of tasks and of
+    days one more, besides one for what is left of a task's levels: eight are
+    enough for FAN_IN ** 2 each of chunks in a task, tasks and days.
+    """
     return int(np.ceil(levels / (2 * epsilon)))
 
 

@@ -55,3 +55,17 @@ def test_over_tables(spark, monkeypatch, chunk):
 def test_empty(spark):
     days = Q.day_summaries(spark.createDataFrame([], SCHEMA), "grp", ["x"], "at", 60)
     assert Q.percentiles(days, PROBS, 60).count() == 0
+
+
+def test_error_stays_in_bound_over_many_chunks():
+    rng = np.random.default_rng(3)
+    epsilon, size, pile, chain = 0.02, Q.summary_size(0.02), [], None
+    # Ever narrower chunks: every compression of a chain falls on the ranks of the later ones.
+    for k in range(600):
+        fresh = Q.summarise(rng.normal(size=500) / (1 + k), size)
+        Q.pile_up(pile, fresh, size)
+        chain = fresh if chain is None else Q.merge([chain, fresh], size)
+    worst = lambda s: max(error for *_, error in Q.answer(s, np.linspace(0, 1, 1001))) / s[0]
+    whole = Q.whole_pile(pile, size)
+    assert whole[0] == 300_000 and max(map(len, pile)) < Q.FAN_IN
+    assert worst(whole) <= epsilon < worst(chain)
