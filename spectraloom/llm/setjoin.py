@@ -6,32 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.session import materialize
+from spectraloom.session import fits, materialize
 
-#: Sets of up to so many values are met by pairs of rare values, larger ones by single ones.
-PAIRWISE_SIZE = 128
-#: A pivot never holds more values than this, so that all pivots fit in memory.
-PIVOT_SIZE = 10_000
+#: Values that all first pivots hold together at most: bounds the table that every task keeps of them.
+PIVOT_VALUES = 20_000
 #: Members of one side of a cell that one task compares at once.
 BLOCK = 1000
-#: One in so many sets is a pivot of the net's first round, second round.
-NET_SHARES = (64, 8)
-#: Greatest radius of the net's cells, as a share of the threshold.
-NET_HOME = 0.4
+#: Values that one product of incidence matrices takes at once.
+SLICE = 4096
+#: Values that so many right sets or fewer hold are met alone, more frequent ones with a second value.
+RARE = 8
+#: Sets of more values than this are met by single values only: their pairs of values would be too many.
+PAIRWISE_SIZE = 128
+#: Distinct values whose frequencies go to every executor at most (about 10 MB).
+MAX_BROADCAST_VALUES = 100_000
 
 
 def _near(pivots: list[list[str]], limits: dict[int, float] | None, home: float):
     """Per batch of sets: the nearest pivot within ``home`` (or -1), or, given each cell's limit, all cells to copy to."""
     ids = pd.Index(sorted({value for pivot in pivots for value in pivot}))
-    incidence = np.zeros((len(ids) + 1, max(1, len(pivots))), dtype="int16")
-    for k, pivot in enumerate(pivots):
-        incidence[ids.get_indexer(pivot), k] = 1
+    places = [ids.get_indexer(pivot) for pivot in pivots]
     sizes = np.array([len(pivot) for pivot in pivots] or [0])
 
-    def distances(sets: pd.Series) -> np.ndarray:
+    def table() -> np.ndarray:
+        incidence = np.zeros((len(ids) + 1, max(1, len(pivots))), dtype="int16")
+        for k, at in enumerate(places):
+            incidence[at, k] = 1
+        return incidence
+
+    def distances(sets: pd.Series, incidence: np.ndarray) -> np.ndarray:
         lengths = sets.map(len).to_numpy()
         flat = ids.get_indexer(np.concatenate([np.asarray(v, dtype=object) for v in sets])) if lengths.sum() else np.zeros(0, int)
         owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -43,44 +49,52 @@ def _near(pivots: list[list[str]], limits: dict[int, float] | None, home: float)
             overlap[owner[starts]] = np.add.reduceat(incidence[flat], starts, axis=0, dtype="int64")
         return 1 - overlap / np.maximum(lengths[:, None] + sizes[None, :] - overlap, 1)
 
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        incidence = table()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
-                far = distances(part["set"])
-                cell = far.argmin(axis=1)
-                least = far[np.arange(len(cell)), cell]
-                yield part.assign(cell=np.where((least <= home) & bool(pivots), cell, -1).astype("int32"), distance=least)
+                yield part, distances(part["set"], incidence)
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, far in parts(batches):
+            cell = far.argmin(axis=1)
+            least = far[np.arange(len(cell)), cell]
+            yield part.assign(cell=np.where((least <= home) & bool(pivots), cell, -1).astype("int32"), distance=least)
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bound = np.array([limits.get(k, -1.0) for k in range(len(pivots))])
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                row, cell = np.nonzero(distances(part["set"]) <= bound[None, :])
-                yield part.iloc[row].assign(cell=cell.astype("int32"))
+        bound = np.array([limits.get(k, -1.0) for k in range(len(pivots))] or [-1.0])
+        for part, far in parts(batches):
+            row, cell = np.nonzero(far <= bound[None, :])
+            yield part.iloc[row].assign(cell=cell.astype("int32"))
 
     return homes if limits is None else copies
 
 
 def _exact(threshold: float):
-    """Joins two blocks of one cell exactly: overlaps by a product of incidence matrices over the values both blocks hold."""
+    """Joins two blocks of one cell exactly: overlaps by products of incidence matrices over the values both blocks hold."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "jaccard": np.zeros(0)})
         common = pd.Index(np.intersect1d(np.concatenate(left["set"].to_list()), np.concatenate(right["set"].to_list())))
 
-        def matrix(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        def places(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             lengths = side["set"].map(len).to_numpy()
             columns = common.get_indexer(np.concatenate(side["set"].to_list()))
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            out = np.zeros((len(lengths), len(common)), dtype="float32")
-            out[owner[columns >= 0], columns[columns >= 0]] = 1
-            return out, lengths
-
-        (x, nx), (y, ny) = matrix(left), matrix(right)
-        overlap = np.rint((x @ y.T).astype("float64"))
+            return owner[columns >= 0], columns[columns >= 0], lengths
+
+        def matrix(owner: np.ndarray, columns: np.ndarray, rows: int, first: int) -> np.ndarray:
+            inside = (columns >= first) & (columns < first + SLICE)
+            out = np.zeros((rows, min(SLICE, len(common) - first)), dtype="float32")
+            out[owner[inside], columns[inside] - first] = 1
+            return out
+
+        (i, x, nx), (j, y, ny) = places(left), places(right)
+        overlap = np.zeros((len(nx), len(ny)))
+        for first in range(0, len(common), SLICE):
+            overlap += np.rint(matrix(i, x, len(nx), first) @ matrix(j, y, len(ny), first).T)
         jaccard = overlap / np.maximum(nx[:, None] + ny[None, :] - overlap, 1)
         row, column = np.nonzero((jaccard >= threshold) & (overlap > 0))
         return pd.DataFrame({"a": left["id"].to_numpy()[row], "b": right["id"].to_numpy()[column], "jaccard": jaccard[row, column]})
@@ -97,106 +111,104 @@ def _in_cells(left: DataFrame, right: DataFrame, grid: DataFrame, threshold: flo
 
 
 def _ordered(side: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(id, set, n) with the values of each set from rare to frequent."""
+    """(id, set, n, unmet, rare): the values of each set from rare to frequent, how many of them no right set holds, and how many few hold."""
     exploded = side.select("id", F.explode("set").alias("value")).join(frequency, "value", "left")
     rank = F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.xxhash64("value").alias("h"), "value")
-    ranked = exploded.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["value"]).alias("set"))
-    return ranked.withColumn("n", F.size("set"))
-
-
-def _signatures(side: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, key): similar sets have at least one key in common.
-
-    Two sets of Jaccard t or more share at least o = ceil(t n) values of
-    either, so the first n - o + 2 values of both, from rare to frequent, hold
-    two common ones: those pairs are the keys. Sets so small that they may
-    share one value only, and sets too large for pairs, also meet by the
-    single values of their first n - o + 1. Keys are hashes: what they bring
-    together by chance is compared like the rest.
+    ranked = exploded.groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("ranked"))
+    upto = lambda most: F.size(F.filter("ranked", lambda r: r["f"] <= most))
+    return ranked.select("id", F.transform("ranked", lambda r: r["value"]).alias("set"), F.size("ranked").alias("n"), upto(0).alias("unmet"), upto(RARE).alias("rare"))
+
+
+def _keys(side: DataFrame, threshold: float, least: Column) -> DataFrame:
+    """(id, n, at, key): a set that shares ``least`` or more of these sets' values has a key of them.
+
+    Both sets list their values from rare to frequent. The first value they
+    share then stands among the first n - least + 1 of either, the second one
+    among the first n - least + 2. A first value that few right sets hold is a
+    key alone, else it is one together with each possible second value. Sets
+    that may share one value only, and those too large for pairs (and what may
+    resemble these), have every first value alone as a key too. ``at`` is the
+    place of the first value. Keys are hashes: what they bring together by
+    chance is compared like the rest.
     """
-    least = F.ceil(F.col("n") * threshold - 1e-9)
-    first = lambda more: F.slice("set", 1, F.least(F.col("n"), F.greatest(F.col("n") - least + more, F.lit(1))).cast("int"))
-    two = F.flatten(F.transform(first(2), lambda x, i: F.transform(F.slice(first(2), i + 2, F.size(first(2))), lambda y: F.xxhash64(F.lit(2), x, y))))
-    one = F.transform(first(1), lambda x: F.xxhash64(F.lit(1), x))
-    none = F.array().cast("array<bigint>")
-    few = F.col("n") * threshold <= 1
-    large = F.col("n") >= threshold * PAIRWISE_SIZE
-    keys = F.concat(F.when(F.col("n") <= PAIRWISE_SIZE, two).otherwise(none), F.when(few | large, one).otherwise(none))
-    return side.select("id", "n", F.explode(keys).alias("key"))
-
-
-def _reached(left: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard): the pivots within reach of each set, looked up by their rarest values and compared."""
-    a = _signatures(left, threshold).select(F.col("id").alias("a"), F.col("n").alias("na"), "key")
-    b = _signatures(pivots, threshold).select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")
-    fitting = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    found = a.join(b, "key").filter(fitting).select("a", "b").distinct()
-    with_sets = found.join(left.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(pivots.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    known = side.withColumn("least", F.greatest(F.ceil(least - 1e-9), F.lit(1)).cast("int"))
+    few, large, huge = F.col("n") * threshold <= 1, F.col("n") >= threshold * PAIRWISE_SIZE, F.col("n") > PAIRWISE_SIZE
+    last = F.col("n") - F.col("least") + 1
+    alone = F.when(few | large, last).otherwise(F.least(last, "rare"))
+    first = F.filter(F.transform(F.slice("set", 1, alone), lambda v, i: F.struct(i.alias("at"), F.xxhash64(F.lit(1), v).alias("key"))), lambda k: k["at"] >= F.col("unmet"))
+    places = F.when(~huge & (F.col("rare") < last), F.sequence(F.col("rare"), last - 1)).otherwise(F.array().cast("array<int>"))
+    second = lambda i: F.slice("set", i + 2, F.greatest(last - i, F.lit(0)).cast("int"))
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(second(i), lambda v: F.struct(i.alias("at"), F.xxhash64(F.lit(2), F.get("set", i), v).alias("key")))))
+    return known.select("id", "n", F.explode(F.concat(first, pairs)).alias("k")).select("id", "n", "k.at", "k.key")
+
+
+def _own_cells(left: DataFrame, right: DataFrame, threshold: float, symmetric: bool) -> DataFrame:
+    """(a, b, jaccard) with right sets that are pivots of cells of their own, of radius 0.
+
+    A left set reaches such a cell if its distance to the pivot is at most
+    1 - threshold, and that distance is the answer. The pivots within reach
+    are looked up by rare values instead of being compared one by one.
+    """
+    frequency = materialize(right.select(F.explode("set").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("f")), "sets-frequency")
+    frequency = F.broadcast(frequency) if fits(frequency, MAX_BROADCAST_VALUES) else frequency.hint("merge")
+    left, right = (materialize(_ordered(side, frequency), "sets-ordered") for side in (left, right))
+    share = threshold / (1 + threshold)
+    # Two sets share at least ``share`` of their sizes' sum: the smaller one's own size bounds that best.
+    smaller, larger = 2 * share * F.col("n"), threshold * F.col("n")
+    cast = lambda side, names: side.toDF(*names)
+
+    def met(mine: Column, others: Column, sizes: Column) -> DataFrame:
+        a = cast(_keys(left, threshold, mine), ("a", "na", "at", "key"))
+        b = cast(_keys(right, threshold, others), ("b", "nb", "bt", "key"))
+        # Nothing before the first shared value is shared: what follows must be enough.
+        enough = F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("bt")) >= share * (F.col("na") + F.col("nb")) - 1e-9
+        fitting = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+        return a.join(b.hint("merge"), "key").filter(sizes & enough & fitting).select("a", "b")
+
+    upwards = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & ((F.col("a") <= F.col("b")) if symmetric else F.lit(True))
+    found = met(smaller, larger, upwards)
+    if not symmetric:
+        found = found.unionByName(met(larger, smaller, F.col("na") > F.col("nb")))
+    sets = lambda side, ident, name: side.select(F.col("id").alias(ident), F.col("set").alias(name)).hint("merge")
+    reached = found.distinct().join(sets(left, "a", "x"), "a").join(sets(right, "b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return with_sets.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
+    return reached.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9)
 
 
-def _net(right: DataFrame, home: float) -> DataFrame:
-    """(id, set, n, cell, distance): every set with its nearest pivot of a net, at most ``home`` away.
+def first_pivots(right: DataFrame, pivots: int) -> list[list[str]]:
+    """At most ``pivots`` sets of a hash sample, with PIVOT_VALUES values in all."""
+    some = right.withColumn("n", F.size("set")).filter(F.col("n") <= PIVOT_VALUES)
+    sizes = some.select("id", "n", F.xxhash64("id").alias("h")).orderBy("h").limit(pivots).collect()
+    total = np.cumsum([r["n"] for r in sizes]) if sizes else np.zeros(0)
+    chosen = [r["id"] for r, upto in zip(sizes, total) if upto <= PIVOT_VALUES]
+    return [list(r["set"]) for r in some.filter(F.col("id").isin(chosen)).select("id", "set").orderBy("id").collect()] if chosen else []
 
-    The pivots are denser from round to round, so that a family of like sets
-    meets few pivots of its own in the first round that it meets any. What no
-    round places is far from all pivots and becomes one.
-    """
-    rounds, rest = [], right
-    for share in NET_SHARES:
-        pivots = rest.filter(F.pmod(F.xxhash64("id", F.lit(share)), F.lit(share)) == 0)
-        near = _reached(rest, pivots, 1 - home).groupBy("a").agg(F.min(F.struct((1 - F.col("jaccard")).alias("distance"), F.col("b").alias("cell"))).alias("nearest"))
-        placed = materialize(rest.join(near, rest["id"] == near["a"], "left").select("id", "set", "n", "nearest.cell", "nearest.distance"), "sets-net")
-        rounds.append(placed.filter("cell is not null"))
-        rest = placed.filter("cell is null").select("id", "set", "n")
-    out = rest.select("id", "set", "n", F.col("id").alias("cell"), F.lit(0.0).alias("distance"))
-    for placed in rounds:
-        out = out.unionByName(placed)
-    return out
-
-
-def _in_net(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Exact join by the cells of a net of pivots, of which there may be as many as there are right sets."""
-    frequency = materialize(right.select(F.explode("set").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("f")), "sets-frequency")
-    left, right = (materialize(_ordered(side, frequency), "sets-ordered") for side in (left, right))
-    members = _net(right, NET_HOME * threshold)
-    cells = members.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("members"))
-    wide = materialize(cells.filter("radius > 0"), "sets-wide")
-    # A cell of radius 0 holds its pivot alone (or equals of it): the distance to the pivot is the answer.
-    single = members.join(wide, "cell", "left_anti").select("id", "set", "n")
-    alone = _reached(left, single, threshold)
-    # Wider cells: a set may match a member if it is no farther from the pivot than the radius + 1 - threshold.
-    pivots = wide.select(F.col("cell").alias("id")).join(right, "id")
-    near = _reached(left, pivots, (1 - NET_HOME) * threshold).select(F.col("a").alias("id"), F.col("b").alias("cell"), (1 - F.col("jaccard")).alias("distance"))
-    bounded = near.join(wide.select("cell", "radius"), "cell").filter(F.col("distance") <= F.col("radius") + 1 - threshold + 1e-9)
-    copied = materialize(bounded.select("id", "cell").join(left.select("id", "set"), "id"), "sets-net-copied")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    grid = copied.groupBy("cell").agg(F.count(F.lit(1)).alias("copies")).join(wide, "cell").select("cell", blocks("copies").alias("rows"), blocks("members").alias("columns"))
-    return alone.unionByName(_in_cells(copied, members.select("cell", "id", "set"), grid, threshold))
-
-
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 128, home: float | None = None) -> DataFrame:
+
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float, pivots: int = 128, home: float | None = None, symmetric: bool = False) -> DataFrame:
     """(a, b, jaccard): ids of ``left`` and ``right`` (id bigint unique, set array<string> of distinct values) with Jaccard >= ``threshold``.
 
-    Every right set belongs to the cell of its nearest pivot. By the triangle
-    inequality a left set can only match members of a cell whose pivot is
-    nearer than the cell's radius + 1 - threshold: it is copied to those cells
-    and joined there exactly, in blocks. Each right set is in one cell, so
-    each pair comes out once.
+    Every right set belongs to the cell of its nearest pivot, or is the pivot
+    of a cell of its own. By the triangle inequality a left set can only match
+    members of a cell whose pivot is nearer than the cell's radius +
+    1 - threshold: it is copied to those cells and joined there exactly, in
+    blocks. Each right set is in one cell, so each pair comes out once.
 
     The first ``pivots`` pivots are a hash sample of the right sets, so that a
     family with a share of the rows holds one the more surely the larger it
-    is; they are compared with every set. Right sets farther than ``home``
-    from all of them get cells of a finer net, whose many small cells have
-    radii of at most NET_HOME x threshold; a set's pivots in reach are then
-    looked up by their rarest values. Null and empty sets match nothing.
+    is; they are compared with every set. A right set farther than ``home``
+    from all of them is a pivot itself, with a cell of radius 0: a wider cell
+    would reach left sets of nearly any distance (see README).
+
+    ``symmetric`` tells that both sides have the same ids and sizes and that a
+    resembles b exactly if b resembles a; then each pair comes out once, the
+    set with fewer values (then the lesser id) as ``a``. Null and empty sets
+    match nothing; extra columns are ignored; an empty side gives no rows.
     """
     home = 0.8 * threshold if home is None else home
     if not 0 < threshold <= 1 or home >= threshold:
         raise ValueError("0 < threshold <= 1 and home < threshold")
     left, right = (materialize(side.select(F.col("id").cast("bigint").alias("id"), "set").filter(F.size("set") > 0), "sets") for side in (left, right))
-    chosen = [list(r["set"]) for r in right.filter(F.size("set") <= PIVOT_SIZE).orderBy(F.xxhash64("id")).limit(pivots).collect()]
+    chosen = first_pivots(right, pivots)
     placed = materialize(right.mapInPandas(_near(chosen, None, home), "id bigint, set array<string>, cell int, distance double"), "sets-placed")
     near = placed.filter("cell >= 0")
     # One row per pivot.
@@ -207,4 +219,8 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float, pivots: in
     blocks = [(cell, max(1, -(-counts.get(cell, 0) // BLOCK)), max(1, -(-n // BLOCK))) for cell, (n, _) in cells.items()]
     grid = left.sparkSession.createDataFrame(blocks or [(-2, 1, 1)], "cell int, rows int, columns int")
     within = _in_cells(copied, near, F.broadcast(grid), threshold)
-    return within.unionByName(_in_net(left, placed.filter("cell < 0").select("id", "set"), threshold))
+    if symmetric:
+        size = lambda side, ident, name: side.select(F.col("id").alias(ident), F.size("set").alias(name)).hint("merge")
+        sized = within.join(size(left, "a", "na"), "a").join(size(right, "b", "nb"), "b")
+        within = sized.filter((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") <= F.col("b"))).drop("na", "nb")
+    return within.unionByName(_own_cells(left, placed.filter("cell < 0").select("id", "set"), threshold, symmetric))

@@ -16,23 +16,23 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Peptides with their class (the least id of those with the same residues), and the classes."""
     rows = table(spark, sf_dir, "target_peptides").select("peptide_id", residues(F.col("t1")).alias("seq")).filter(F.length("seq") >= 3)
     classes = materialize(rows.groupBy("seq").agg(F.min("peptide_id").alias("id"), F.count(F.lit(1)).alias("members")), "peptide-classes")
-    return rows.join(classes, "seq").select("peptide_id", "id"), classes
+    return rows.join(classes.hint("merge"), "seq").select("peptide_id", "id"), classes
 
 
 def _links(classes: DataFrame) -> DataFrame:
     forward = classes.select("id", pieces(F.col("seq"), 3).alias("set"))
     backward = classes.select("id", pieces(F.reverse("seq"), 3).alias("set"))
-    # The relation is symmetric: of the two directions one is kept.
-    return similar_sets(backward, forward, THRESHOLD).filter("a <= b")
+    return similar_sets(backward, forward, THRESHOLD, symmetric=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different peptides of which one, reversed, resembles the other."""
     members, classes = _classes(spark, sf_dir)
     links = materialize(_links(classes), "peptide-links")
+    members = materialize(members, "peptide-members")
     a = members.select(F.col("peptide_id").alias("pa"), F.col("id").alias("a"))
     b = members.select(F.col("peptide_id").alias("pb"), F.col("id").alias("b"))
-    pairs = links.join(a, "a").join(b, "b").filter("(a < b and pa <> pb) or (a = b and pa < pb)")
+    pairs = links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter("a <> b or pa < pb")
     return pairs.select(F.least("pa", "pb").alias("peptide_id_a"), F.greatest("pa", "pb").alias("peptide_id_b"))
 
 
@@ -40,9 +40,9 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per peptide: its class of equal residues and the number of other peptides that its reverse resembles."""
     members, classes = _classes(spark, sf_dir)
     links = materialize(_links(classes), "peptide-links")
-    both = links.select("a", "b").union(links.filter("a < b").select("b", "a"))
-    partners = both.join(classes.select(F.col("id").alias("b"), "members"), "b").groupBy("a").agg(F.sum(F.col("members") - (F.col("a") == F.col("b")).cast("int")).alias("links"))
-    counted = members.join(partners.withColumnRenamed("a", "id"), "id", "left")
+    both = links.select("a", "b").union(links.filter("a <> b").select("b", "a"))
+    partners = both.join(classes.select(F.col("id").alias("b"), "members").hint("merge"), "b").groupBy("a").agg(F.sum(F.col("members") - (F.col("a") == F.col("b")).cast("int")).alias("links"))
+    counted = members.join(partners.withColumnRenamed("a", "id").hint("merge"), "id", "left")
     return counted.select("peptide_id", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 

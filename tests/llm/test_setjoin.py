@@ -14,11 +14,12 @@ def brute(left, right, t):
     return {(a, b) for a, x, _ in left for b, y, _ in right if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= t}
 
 
-@pytest.mark.parametrize("t,pivots,shares,home", [(0.5, 8, (64, 8), 0.4), (0.8, 8, (8,), 0.4), (0.3, 2, (8, 2), 0.9), (0.5, 0, (8, 2), 0.8), (1.0, 4, (8,), 0.4)])
-def test_against_brute_force(spark, monkeypatch, t, pivots, shares, home):
+@pytest.mark.parametrize("t,pivots,rare,broadcast", [(0.5, 8, 8, 100), (0.8, 8, 0, 0), (0.3, 2, 3, 0), (0.5, 0, 0, 100), (0.5, 0, 1000, 0), (1.0, 4, 2, 0)])
+def test_against_brute_force(spark, monkeypatch, t, pivots, rare, broadcast):
     monkeypatch.setattr(setjoin, "BLOCK", 20)
-    monkeypatch.setattr(setjoin, "NET_SHARES", shares)
-    monkeypatch.setattr(setjoin, "NET_HOME", home)
+    monkeypatch.setattr(setjoin, "SLICE", 7)
+    monkeypatch.setattr(setjoin, "RARE", rare)
+    monkeypatch.setattr(setjoin, "MAX_BROADCAST_VALUES", broadcast)
     monkeypatch.setattr(setjoin, "PAIRWISE_SIZE", 12)
     rng = random.Random(3)
     family = [f"f{n}" for n in range(20)]
@@ -34,6 +35,16 @@ def test_against_brute_force(spark, monkeypatch, t, pivots, shares, home):
     found = similar_sets(make(left), make(right), t, pivots=pivots).collect()
     assert len(found) == len({(r.a, r.b) for r in found})
     assert {(r.a, r.b) for r in found} == brute(left, right, t)
+    # The same sets on both sides: each pair once, the smaller set first.
+    once = similar_sets(make(right), make(right), t, pivots=pivots, symmetric=True).collect()
+    size = {n: len(s or []) for n, s, _ in right}
+    assert sorted((r.a, r.b) for r in once) == sorted((a, b) for a, b in brute(right, right, t) if (size[a], a) <= (size[b], b))
+
+
+def test_pivots_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PIVOT_VALUES", 10)
+    rows = spark.createDataFrame([(n, [f"v{n}-{k}" for k in range(4)]) for n in range(9)] + [(99, [f"w{k}" for k in range(11)])], "id long, set array<string>")
+    assert [len(p) for p in setjoin.first_pivots(rows, 8)] == [4, 4]
 
 
 def test_empty_tables(spark):
