@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.quantiles import day_summaries, percentiles, ranks, summary_size, whole_summaries
+from spectraloom.llm.quantiles import day_summaries, percentiles, ranks, whole_summaries
 from spectraloom.session import materialize, table
 
 COLUMNS = ("BaseFDR", "BinnedFDRMedian", "DeltaBinnedMedianMinusBase")
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 EPSILON = 0.005
-SIZE = summary_size(EPSILON)
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(day_summaries(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName", COLUMNS, "LoadedAt", SIZE), "quantile-days")
+    return materialize(day_summaries(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName", COLUMNS, "LoadedAt", EPSILON), "quantile-days")
 
 
 def p5_fdr_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the three FDR columns per condition over all load days, with their rank error."""
-    return percentiles(_days(spark, sf_dir), PROBS, SIZE).withColumnRenamed("grp", "ConditionName")
+    return percentiles(_days(spark, sf_dir), PROBS, EPSILON).withColumnRenamed("grp", "ConditionName")
 
 
 def p5_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the BaseFDR of every row stands among those of its condition: bounds of its rank, and the percentile between them."""
-    whole = materialize(whole_summaries(_days(spark, sf_dir), SIZE), "quantile-whole")
-    placed = ranks(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName", "BaseFDR", whole, keep=["ScanNum", "CorePeptide", "LoadedAt"])
+    """Where each value of the three FDR columns stands among those of its condition: bounds of its rank, and the percentile between them."""
+    whole = materialize(whole_summaries(_days(spark, sf_dir), EPSILON), "quantile-whole")
+    placed = ranks(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName", COLUMNS, whole, keep=["ScanNum", "CorePeptide", "LoadedAt"])
     percentile = F.round((F.col("rank_low") + 1 + F.col("rank_high")) / 2 / F.col("n"), 6)
-    return placed.select("ScanNum", "CorePeptide", "LoadedAt", F.col("grp").alias("ConditionName"), F.col("x").alias("BaseFDR"), "rank_low", "rank_high", "n", percentile.alias("percentile"))
+    return placed.select("ScanNum", "CorePeptide", "LoadedAt", F.col("grp").alias("ConditionName"), "measure", F.col("x").alias("value"), "rank_low", "rank_high", "n", percentile.alias("percentile"))
 
 
 def p5_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:

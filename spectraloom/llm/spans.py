@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.session import materialize
@@ -61,44 +61,74 @@ def _count_bucket(k: int):
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         low = np.minimum.reduceat(bucket["low"].to_numpy()[owner[order]], starts)
         high = np.maximum.reduceat(bucket["high"].to_numpy()[owner[order]], starts)
-        shared = order[np.repeat(low != high, np.diff(np.r_[starts, len(ordered)]))]
-        shared.sort()
-        return pd.DataFrame({"packed": bucket["packed"].to_numpy()[owner[shared]], "offset": offset[shared].astype("int32")})
+        shared = np.sort(order[np.repeat(low != high, np.diff(np.r_[starts, len(ordered)]))])
+        # Consecutive windows of one string are one stretch.
+        fresh = np.flatnonzero(np.r_[True, (owner[shared[1:]] != owner[shared[:-1]]) | (shared[1:] != shared[:-1] + 1)][: len(shared)])
+        ends = np.r_[fresh[1:] - 1, len(shared) - 1][: len(fresh)]
+        first, last = offset[shared[fresh]], offset[shared[ends]]
+        return pd.DataFrame({"packed": bucket["packed"].to_numpy()[owner[shared[fresh]]], "first": first.astype("int32"), "last": last.astype("int32")})
 
     return run
 
 
-def shared_windows(records: DataFrame, k: int, m: int, both_ways: bool, max_strings: int = MAX_STRINGS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """(low, text, start): windows of ``text``, from 0, that another record's text holds too.
-
-    ``records`` has ``text`` (distinct), ``low`` and ``high``, the least and
-    greatest id with that text. Every text is cut into super-k-mers, which
-    travel to their minimiser's bucket; equal strings are merged on the way.
-    """
+def _minimised(df: DataFrame, text: str, k: int, m: int) -> DataFrame:
+    """One row per super-k-mer of ``text``: minimiser, start and packed string in its place."""
 
     @F.pandas_udf("array<struct<minimiser:string,start:int,packed:string>>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"minimiser": a, "start": b, "packed": c} for a, b, c in super_kmers(text, k, m)] for text in texts], dtype=object)
 
-    long = records.filter(F.length("text") >= k)
-    forward = long.select("low", "high", "text", F.col("text").alias("read"), F.lit(True).alias("forward"))
-    both = forward.unionByName(long.select("low", "high", "text", F.reverse("text").alias("read"), F.lit(False).alias("forward"))) if both_ways else forward
-    pieces = materialize(both.select("low", "high", "text", "forward", F.explode(cut("read")).alias("p")).select("low", "high", F.when(F.col("forward"), F.col("text")).alias("text"), "forward", "p.*"), "spans-pieces")
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.explode(cut(text)).alias("p")).select(*rest, "p.*")
+
+
+def shared_windows(records: DataFrame, k: int, m: int, both_ways: bool, max_strings: int = MAX_STRINGS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+    """(record, first, last): stretches of window starts, from 0, that another record's text holds too; one row per super-k-mer and stretch.
 
-    strings = materialize(pieces.groupBy("minimiser", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans-strings")
+    ``records`` has ``record`` (unique), ``text`` (distinct), ``low`` and
+    ``high``, the least and greatest id with that text. Every text is cut into
+    super-k-mers, which travel to their minimiser's bucket; equal strings are
+    merged on the way. The text itself stays where it is.
+    """
+    long = records.filter(F.length("text") >= k)
+    pieces = materialize(_minimised(long.select("record", "low", "high", "text"), "text", k, m), "spans-pieces")
+    sources = pieces.select("minimiser", "packed", "low", "high")
+    if both_ways:
+        sources = sources.unionByName(_minimised(long.select("low", "high", F.reverse("text").alias("text")), "text", k, m).drop("start"))
+    strings = materialize(sources.groupBy("minimiser", "packed").agg(F.min("low").alias("low"), F.max("high").alias("high")), "spans-strings")
     sizes = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings"))
     hot = materialize(sizes.filter(F.col("strings") > max_strings).select("minimiser"), "spans-hot")
     windows = strings.agg(F.sum(F.length("packed") - k + 1)).first()[0] or 0
     buckets = max(1, -(-int(windows) // bucket_windows))
-    # There are at most (distinct strings / max_strings) hot minimisers; Spark joins them as their size suggests.
-    usual = strings.join(hot, "minimiser", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets)))
-    counted = usual.groupBy("bucket").applyInPandas(_count_bucket(k), "packed string, offset int")
-    split = strings.join(hot, "minimiser", "left_semi").select("low", "high", "packed", F.explode(F.sequence(F.lit(0), F.length("packed") - k)).alias("offset"))
+    # There are at most (distinct strings / max_strings) hot minimisers: one in 50,000 strings.
+    usual = strings.join(hot.hint("merge"), "minimiser", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets)))
+    counted = usual.groupBy("bucket").applyInPandas(_count_bucket(k), "packed string, first int, last int")
+    split = strings.join(hot.hint("merge"), "minimiser", "left_semi").select("low", "high", "packed", F.explode(F.sequence(F.lit(0), F.length("packed") - k)).alias("offset"))
     split = split.withColumn("window", F.substr("packed", F.col("offset") + 1, F.lit(k)))
     several = split.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("window")
-    counted = counted.unionByName(split.join(several, "window", "left_semi").select("packed", "offset"))
-    hits = counted.groupBy("packed").agg(F.collect_list("offset").alias("offsets"))
-    return pieces.filter("forward").join(hits, "packed").select("low", "text", F.explode(F.transform("offsets", lambda o: o + F.col("start"))).alias("start"))
+    single = split.join(several.hint("merge"), "window", "left_semi").select("packed", F.col("offset").alias("first"), F.col("offset").alias("last"))
+    hits = counted.unionByName(single)
+    met = pieces.select("record", "start", "packed").join(hits.hint("merge"), "packed")
+    return met.select("record", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+
+
+def _runs(k: int):
+    """Joins the stretches of one record, in any order, to maximal runs of characters (start and end, from 1)."""
+
+    @F.pandas_udf("array<struct<span_start:int,span_end:int>>")
+    def joined(stretches: pd.Series) -> pd.Series:
+        out = []
+        for own in stretches:
+            first = np.array([s["first"] for s in own], dtype="int64")
+            last = np.array([s["last"] for s in own], dtype="int64")
+            order = np.argsort(first, kind="stable")
+            first, upto = first[order], np.maximum.accumulate(last[order])
+            fresh = np.flatnonzero(np.r_[True, first[1:] > upto[:-1] + k])
+            ends = upto[np.r_[fresh[1:] - 1, len(upto) - 1]]
+            out.append([{"span_start": int(a) + 1, "span_end": int(b) + k} for a, b in zip(first[fresh], ends)])
+        return pd.Series(out, dtype=object)
+
+    return joined
 
 
 def shared_spans(df: DataFrame, ident: str, text: str, k: int, m: int = 7, both_ways: bool = False, **bounds: int) -> DataFrame:
@@ -109,13 +139,20 @@ def shared_spans(df: DataFrame, ident: str, text: str, k: int, m: int = 7, both_
     ``ident``: two rows of one id are one record only if their texts agree,
     and a row's own reversed text is not another record. Null, empty and short
     texts have no spans, nor do rows with a null id. Other columns are ignored.
+
+    Texts travel three times: where equal ones are merged, where runs meet
+    their text and where the text meets its ids. Between those a number stands
+    for them. The stretches of one text are gathered in one row, which is no
+    longer than the text.
     """
     if not 0 < m <= k:
         raise ValueError("the minimiser must be no longer than the span")
-    rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= k)).distinct()
-    records = materialize(rows.groupBy("text").agg(F.min("id").alias("low"), F.max("id").alias("high")), "spans-records")
-    starts = shared_windows(records, k, m, both_ways, **bounds)
-    order = Window.partitionBy("text").orderBy("start")
-    fresh = F.coalesce(F.col("start") > F.lag("start").over(order) + k, F.lit(True)).cast("int")
-    runs = starts.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).groupBy("text", "run").agg((F.min("start") + 1).alias("span_start"), (F.max("start") + k).alias("span_end"))
-    return rows.join(runs, "text").select(F.col("id").alias(ident), F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"))
+    rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= k))
+    merged = rows.groupBy("text").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    # Numbered once and written: the numbers do not change afterwards.
+    records = materialize(merged.withColumn("record", F.monotonically_increasing_id()), "spans-records")
+    stretches = shared_windows(records, k, m, both_ways, **bounds).groupBy("record").agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
+    runs = stretches.select("record", _runs(k)("stretches").alias("runs"))
+    found = records.select("record", "text").join(runs.hint("merge"), "record").select("text", "runs")
+    met = rows.distinct().join(found.hint("merge"), "text").select("id", F.explode("runs").alias("run"))
+    return met.select(F.col("id").alias(ident), "run.span_start", "run.span_end")

@@ -60,10 +60,10 @@ def _count(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _meet(rows: DataFrame, states: DataFrame, hot: DataFrame, group: list[str]) -> DataFrame:
-    """Each row with its group's state; the few hot groups by broadcast, the others by whatever join Spark picks."""
+    """Each row with its group's state; the few hot groups by broadcast, the others shuffled: there is a state per group."""
     marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), group, "left")
     hot_states = states.join(F.broadcast(hot), group, "left_semi")
-    cold = marked.filter(F.col("__hot").isNull()).drop("__hot").join(states.join(F.broadcast(hot), group, "left_anti"), group)
+    cold = marked.filter(F.col("__hot").isNull()).drop("__hot").join(states.join(F.broadcast(hot), group, "left_anti").hint("merge"), group)
     return marked.filter("__hot").drop("__hot").join(F.broadcast(hot_states), group).unionByName(cold)
 
 
@@ -89,7 +89,7 @@ def cutoffs(codes: DataFrame, group: list[str], n: int, hot: DataFrame) -> DataF
         counted = _count(rows.withColumn("digit", digit), group)
         states = materialize(_resolve(counted, group), "topn-cuts")
         earlier = open_states.select(*group, F.col("cut").alias("__earlier"))
-        states = states.join(earlier, group).withColumn("cut", F.coalesce("cut", "__earlier")).drop("__earlier")
+        states = states.join(earlier.hint("merge"), group).withColumn("cut", F.coalesce("cut", "__earlier")).drop("__earlier")
         done.append(states.filter("need = 0").select(*group, "cut"))
         open_states = states.filter("need > 0")
         rows = rows.select(*group, "c", "i")
