@@ -150,10 +150,11 @@ def pack(counts: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, ful
     loose = pieces.filter(F.col("size") < capacity)
     shards = max(1, -(-loose.count() // shard_pieces))
     once = materialize(_pack(loose, shards, capacity, "a"), "pack-once")
+    # There are as many containers as the texts fill: those joins are shuffled.
     fill = once.groupBy("container").agg(F.sum("size").alias("fill"))
-    slack = materialize(once.join(fill.filter(F.col("fill") < full * capacity).select("container"), "container", "left_semi").select("id", "piece", "size"), "pack-slack")
+    slack = materialize(once.join(fill.filter(F.col("fill") < full * capacity).select("container").hint("merge"), "container", "left_semi").select("id", "piece", "size"), "pack-slack")
     again = _pack(slack, max(1, -(-slack.count() // shard_pieces)), capacity, "b")
-    tight = once.join(fill.filter(F.col("fill") >= full * capacity).select("container"), "container", "left_semi")
+    tight = once.join(fill.filter(F.col("fill") >= full * capacity).select("container").hint("merge"), "container", "left_semi")
     out = whole.unionByName(tight).unionByName(again)
     empty = texts.filter("tokens = 0").select("id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("container"))
     return out.unionByName(empty).select("id", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.col("size").alias("n_tokens"), "container")
