@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterable
 
 import ahocorasick
 
@@ -68,26 +69,43 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
+def known_spans(text: str, known: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Start and end of every known whole value that stands between boundaries."""
+    found = []
+    if text and len(known):
+        for last, value in known.iter(text):
+            first = last - len(value) + 1
+            before, after = text[first - 1 : first], text[last + 1 : last + 2]
+            if (before == "'" or _boundary(text, first - 1)) and (after == "'" or _boundary(text, last + 1)):
+                found.append((first, last + 1))
+    return found
+
+
+def marks(field: str | None, known: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """``known_spans`` of one field, counted in its text without outer brackets."""
+    return known_spans(_strip_brackets(field), known) if field else []
+
+
 def segment(field: str | None, known: ahocorasick.Automaton) -> list[str]:
-    """The values of one field, in order.
+    """The values of one field, in order. Null and empty fields have no values."""
+    return cover(field, marks(field, known))
+
 
-    The automaton marks every known whole value that stands between
-    boundaries; dynamic programming over the field's positions then picks the
-    cheapest cover out of known values, quoted values, unquoted runs, single
-    noise marks and separators. A known value may hold delimiters: its span is
-    one edge of the cover. Null and empty fields have no values.
+def cover(field: str | None, marked: Iterable[tuple[int, int]]) -> list[str]:
+    """The values of one field, in order, given its ``marks``, in any order.
+
+    Dynamic programming over the field's positions picks the cheapest cover
+    out of known values, quoted values, unquoted runs, single noise marks and
+    separators. A known value may hold delimiters: its span is one edge of the
+    cover.
     """
     if not field:
         return []
     text = _strip_brackets(field)
     n = len(text)
     spans: dict[int, list[tuple[int, str]]] = {}
-    if n and len(known):
-        for last, value in known.iter(text):
-            first = last - len(value) + 1
-            before, after = text[first - 1 : first], text[last + 1 : last + 2]
-            if (before == "'" or _boundary(text, first - 1)) and (after == "'" or _boundary(text, last + 1)):
-                spans.setdefault(first, []).append((last + 1, value))
+    for first, end in marked:
+        spans.setdefault(first, []).append((end, text[first:end]))
     # A cover by known values and separators alone costs nothing: none is better.
     at, found = 0, []
     while at < n:

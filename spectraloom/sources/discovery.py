@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.plans.pipelines import match_stem, natural, run_parts
+from spectraloom.sources.names import match_stem, natural, run_parts
 
 
 def visible(folder: str, *patterns: str) -> list[Path]:

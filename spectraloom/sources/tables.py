@@ -96,7 +96,10 @@ def read_partitions(spark: SparkSession, pattern: str) -> DataFrame:
 def read_metrics(spark: SparkSession, path: str, names: Mapping[str, Sequence[str]]) -> dict[str, int]:
     """Whole numbers from a Metric/Value report, each under the first of its names that is there."""
     rows = read_tsv(spark, path)
-    rows = rows.toDF(*[c.lower() for c in rows.columns]).limit(10_000).collect()  # a report has some dozen rows
+    # A report has some dozen rows; what is far longer is none.
+    rows = rows.toDF(*[c.lower() for c in rows.columns]).limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError(f"{path} is too long for a report")
     found: dict[str, str] = {}
     for row in rows:
         if row["metric"] in found:

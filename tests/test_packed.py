@@ -1,9 +1,11 @@
 import pytest
 
 from spectraloom.functions.segment import automaton, segment
+from spectraloom.operators import packed
 from spectraloom.operators.packed import split_packed, with_values
 
-KNOWN = ["sp|P1|A", "sp|P2|B", "sp|P3|3'X", "odd; one"]
+LONG = "x,a b,c d,e f,g h,i j,k l,m n,o p,q"
+KNOWN = ["sp|P1|A", "sp|P2|B", "sp|P3|3'X", "odd; one", LONG, "actin (fragment)", "(odd) start"]
 CASES = [
     (None, []),
     ("", []),
@@ -21,6 +23,9 @@ CASES = [
     ("'sp|P1|A, 'sp|P2|B'", ["sp|P1|A", "sp|P2|B"]),
     ("sp|P1|A, odd; one", ["sp|P1|A", "odd; one"]),
     ("sp|P1|A;sp|P1|A", ["sp|P1|A", "sp|P1|A"]),
+    (f"sp|P1|A;{LONG};sp|P2|B", ["sp|P1|A", LONG, "sp|P2|B"]),
+    ("new_1;actin (fragment), (odd) start", ["new_1", "actin (fragment)", "(odd) start"]),
+    ("actin (fragment);actin", ["actin (fragment)", "actin"]),
 ]
 
 
@@ -38,8 +43,9 @@ def rows(spark):
     return spark.createDataFrame([(n, field, "x", 9) for n, (field, _) in enumerate(CASES)], "id long, Protein string, values string, pos int")
 
 
-@pytest.mark.parametrize("bound", [1000, 1])
-def test_split_both_ways(spark, bound):
+@pytest.mark.parametrize("bound,block", [(1000, 9), (2, 1000), (1, 3), (0, 9)])
+def test_split_both_ways(spark, monkeypatch, bound, block):
+    monkeypatch.setattr(packed, "BLOCK_FIELDS", block)
     known = spark.createDataFrame([(k,) for k in KNOWN] + [(None,), ("",)], "protein_id string")
     got = split_packed(rows(spark), "Protein", known, "protein_id", keep=["id"], max_broadcast=bound).collect()
     want = sorted((n, k + 1, v) for n, (_, values) in enumerate(CASES) for k, v in enumerate(values))

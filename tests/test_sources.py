@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from spectraloom.operators import bins, correction, cull
 from spectraloom.plans import pipelines
 from spectraloom.operators.collate import recovery_faults, seeded_sample
-from spectraloom.sources import discovery, fasta, tables
+from spectraloom.sources import discovery, fasta, names, tables
 from spectraloom.streaming import fdr_stream
 
 
@@ -42,6 +42,9 @@ def test_tables(spark, tmp_path):
     assert tables.read_metrics(spark, str(tmp_path / "report"), {"total": ["Total"], "Other": []}) == {"total": 5, "Other": 2}
     with pytest.raises(ValueError):
         tables.read_metrics(spark, str(tmp_path / "report"), {"Gone": []})
+    tables.write_tsv(spark.range(10_001).selectExpr("concat('m', id) as Metric", "'1' as Value"), str(tmp_path / "long"), one_file=True)
+    with pytest.raises(ValueError):
+        tables.read_metrics(spark, str(tmp_path / "long"), {"m1": []})
 
 
 def test_formula_round_trip(spark, tmp_path):
@@ -77,9 +80,9 @@ def test_names_and_sizes():
     published = {12_302_081: (10, 21, 41, 82, 164), 20_788_421: (17, 35, 69, 139, 277), 13_267_887: (11, 22, 44, 88, 177)}
     for total, counts in published.items():
         assert tuple(bins.nearest_group_count(total, bins.parse_size(s)) for s in ("1.2M", "600k", "300k", "150k", "75k")) == counts
-    assert pipelines.run_parts("Soil_top_3") == ("Soil_top", 3) and pipelines.run_parts("Soil") is None
-    assert pipelines.match_stem("Soil-1", ["soil_1", "soil_12"]) == "soil_1" and pipelines.match_stem("soil", ["soil_1", "soil_2"]) is None
-    assert sorted(["S10", "S9"], key=pipelines.natural) == ["S9", "S10"]
+    assert names.run_parts("Soil_top_3") == ("Soil_top", 3) and names.run_parts("Soil") is None
+    assert names.match_stem("Soil-1", ["soil_1", "soil_12"]) == "soil_1" and names.match_stem("soil", ["soil_1", "soil_2"]) is None
+    assert sorted(["S10", "S9"], key=names.natural) == ["S9", "S10"]
 
 
 def test_pipelines(spark, tmp_path):
