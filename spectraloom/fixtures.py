@@ -22,7 +22,7 @@ from protein_fasta where seq is not null""",
     "fx_psm_raw": f"""
 select concat('S', cast(l_suppkey % 4 as varchar(20))) as Run, l_orderkey as ScanNum, l_linenumber as Ord, l_partkey as Ord2, l_suppkey as Ord3,
        concat('K.', {_L}, case when l_linenumber = 3 then '*' else '' end, '.R') as Peptide,
-       concat(case when l_partkey % 3 = 0 and l_discount >= 0.05 then 'XXX_' else '' end, 'sp|P', cast(l_partkey % 500 as varchar(20)), '|X') as Protein,
+       concat(case when l_partkey % 3 = 0 and l_discount >= 0.05 then 'XXX_' else '' end, case when l_partkey % 500 < 10 then 'Contaminant_' else 'sp|' end, 'P', cast(l_partkey % 500 as varchar(20)), '|X') as Protein,
        case when l_quantity < 3 and l_linenumber = 1 then cast(0 as double) else (l_quantity + 100 * l_discount) / 1000000 end as SpecEValue,
        l_extendedprice as ParentIonIntensity, l_tax as QValue, l_discount as PepQValue, l_quantity as MSGFScore, l_tax * 100 - 4 as DelM_PPM
 from lineitem""",

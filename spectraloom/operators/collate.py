@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import either
+from spectraloom.operators.quantile import attach
 
 
 def entity_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -49,6 +50,22 @@ def recovery_faults(summary: DataFrame) -> DataFrame:
     return summary.withColumn("faults", reasons).filter(F.size("faults") > 0)
 
 
+def capped_list(df: DataFrame, keys: Sequence[str], column: str, out: str, cap: int | None = 100, separator: str = ";") -> DataFrame:
+    """(keys, ``out``): each key's distinct values, sorted, the first ``cap`` of them by name and then how many more there are.
+
+    With a cap no more than that many values of a key are ever gathered;
+    without one (None) all are, so say None only where keys are small. Null
+    and empty values are none; a key without values has no row.
+    """
+    values = df.select(*keys, F.col(column).alias("__v")).filter("__v is not null and __v <> ''").distinct()
+    if cap is None:
+        return values.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("__v")), separator).alias(out))
+    named = values.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy("__v"))).filter(F.col("__at") <= cap)
+    lists = named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("__v")), separator).alias(out))
+    more = values.groupBy(*keys).agg((F.count(F.lit(1)) - cap).alias("__more")).filter("__more > 0")
+    return attach(lists, more, keys, "left").withColumn(out, F.concat(out, F.coalesce(F.concat(F.lit(f"{separator}...(+"), F.col("__more").cast("string"), F.lit(" more)")), F.lit("")))).drop("__more")
+
+
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 1) -> DataFrame:
     """``n`` rows in a random order that the keys and the seed fix."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import core_peptide, joined, unmodified_peptide
@@ -18,10 +18,13 @@ def with_cores(rows: DataFrame) -> DataFrame:
 
 def observations(rows: DataFrame) -> DataFrame:
     """One row per (RunFolder, ScanNum, CorePeptide): the best by SpecEValue, FDR, peptide and protein, with its distinct forms and proteins."""
-    best = Window.partitionBy(*OBSERVATION).orderBy(*[F.asc_nulls_last(c) for c in ("SpecEValue", "PartitionFDR", "Peptide", "Protein", "MSGFScore")])
-    group = Window.partitionBy(*OBSERVATION)
-    marked = rows.withColumns({"__rank": F.row_number().over(best), "__forms": F.collect_set("Peptide").over(group), "__proteins": F.size(F.collect_set("Protein").over(group))})
-    return marked.filter("__rank = 1").withColumns({"PartitionExactPeptideForms": joined(F.col("__forms")), "PartitionExactPeptideFormCount": F.size("__forms"), "PartitionProteinMappingCount": F.col("__proteins")}).drop("__rank", "__forms", "__proteins")
+    order = ("SpecEValue", "PartitionFDR", "Peptide", "Protein", "MSGFScore")
+    first = [f for c in order for f in (F.col(c).isNull().alias(f"__{c}"), F.col(c))]
+    rest = [c for c in rows.columns if c not in (*OBSERVATION, *order)]
+    best = F.min(F.struct(*first, *rest)).alias("__best")
+    grouped = rows.groupBy(*OBSERVATION).agg(best, F.collect_set("Peptide").alias("__forms"), F.size(F.collect_set("Protein")).alias("PartitionProteinMappingCount"))
+    columns = [F.col(c) if c in OBSERVATION else F.col(f"__best.{c}") for c in rows.columns]
+    return grouped.select(*columns, joined(F.col("__forms")).alias("PartitionExactPeptideForms"), F.size("__forms").alias("PartitionExactPeptideFormCount"), "PartitionProteinMappingCount")
 
 
 def conflicts(rows: DataFrame) -> DataFrame:
@@ -41,25 +44,32 @@ def require_no_conflicts(rows: DataFrame) -> None:
         raise ValueError(f"observations with several FDR values or scores, such as {some}")
 
 
-def fdr_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Statistics of the partition FDR per key. A key has one row per partition, so the median's group is small."""
+def fdr_summary(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Statistics of the partition FDR per key, and ``more``. A key has one row per partition, so the median's group is small."""
     fdr = "PartitionFDR"
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("RowsAcrossBins"), F.count_distinct("RunFolder").alias("PartitionBinsRepresented"),
         F.avg(fdr).alias("BinnedFDRMean"), F.median(fdr).alias("BinnedFDRMedian"), F.min(fdr).alias("BinnedFDRMin"), F.max(fdr).alias("BinnedFDRMax"),
         F.stddev_samp(fdr).alias("BinnedFDRStd"), F.count(fdr).alias("BinnedFDRCount"), joined(F.collect_set("RunFolder")).alias("BinnedRunFolders"),
-        F.min("MSGFScore").alias("MSGFScoreMin"), F.max("MSGFScore").alias("MSGFScoreMax"),
+        F.min("MSGFScore").alias("MSGFScoreMin"), F.max("MSGFScore").alias("MSGFScoreMax"), *more,
     )
     return out.withColumns({"BinnedFDRRange": F.col("BinnedFDRMax") - F.col("BinnedFDRMin"), "MSGFScoreRange": F.col("MSGFScoreMax") - F.col("MSGFScoreMin")})
 
 
 def core_summary(observed: DataFrame) -> DataFrame:
     """``fdr_summary`` per (ScanNum, CorePeptide) with the peptide forms and proteins seen."""
-    keys = ["ScanNum", "CorePeptide"]
     forms = F.flatten(F.collect_set(F.split("PartitionExactPeptideForms", ";")))
-    extra = observed.groupBy(*keys).agg(
+    return fdr_summary(
+        observed, ["ScanNum", "CorePeptide"],
         F.coalesce(F.min(F.nullif("UnmodifiedPeptide", F.lit(""))), F.lit("")).alias("UnmodifiedPeptide"), joined(forms).alias("BinnedPeptideForms"),
-        F.size(F.array_distinct(F.filter(forms, lambda f: f != ""))).alias("BinnedPeptideFormCount"), F.count_distinct("Protein").alias("BinnedProteinCount"), joined(F.collect_set("Protein")).alias("BinnedProteins"),
+        F.size(F.array_distinct(F.filter(forms, lambda f: f != ""))).alias("BinnedPeptideFormCount"), F.size(F.collect_set("Protein")).cast("bigint").alias("BinnedProteinCount"), joined(F.collect_set("Protein")).alias("BinnedProteins"),
         F.max("PartitionExactPeptideFormCount").alias("MaxExactFormsWithinPartition"), F.count_if(F.col("PartitionExactPeptideFormCount") > 1).alias("PartitionsWithMultipleExactForms"),
     )
-    return fdr_summary(observed, keys).join(extra, keys)
+
+
+def representatives(observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One observation per key: the least SpecEValue, then PartitionFDR (nulls last), then RunFolder. It lends its metadata and decides nothing."""
+    order = [f for c in ("SpecEValue", "PartitionFDR") for f in (F.col(c).isNull().alias(f"__{c}"), F.col(c))]
+    rest = [c for c in observed.columns if c not in (*keys, "SpecEValue", "PartitionFDR", "RunFolder")]
+    best = observed.groupBy(*keys).agg(F.min(F.struct(*order, "RunFolder", *rest)).alias("__best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__best.{c}") for c in observed.columns])

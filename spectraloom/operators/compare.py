@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import core_peptide, interval_label, interval_name, is_decoy, joined_capped, number
-from spectraloom.operators.quantile import attach, exact_percentiles
+from spectraloom.operators.quantile import attach, exact_percentiles, percentiles_of
 
 KEYS = ["ScanNum", "CorePeptide"]
 STATISTICS = ("Mean", "Median", "Min", "Max")
@@ -132,9 +132,8 @@ def overall_summary(rows: DataFrame) -> DataFrame:
         F.count_if(d < 0).alias("ImprovedCount"), F.count_if(F.abs(d) <= 1e-15).alias("UnchangedCount"), F.count_if(d > 0).alias("WorsenedCount"),
         F.avg((d < 0).cast("int")).alias("ImprovedFraction"), F.avg((d > 0).cast("int")).alias("WorsenedFraction"), F.count_distinct("UnmodifiedPeptide").alias("UniquePeptides"),
     )
-    for value, probs in (("BaseFDR", {"BaseFDRMedian": 0.5}), ("BinnedFDR", {"BinnedFDRMedian": 0.5}), ("DeltaFDR", {"DeltaFDRMedian": 0.5, "DeltaFDRQ05": 0.05, "DeltaFDRQ25": 0.25, "DeltaFDRQ75": 0.75, "DeltaFDRQ95": 0.95})):
-        out = attach(out, exact_percentiles(rows, ["Dataset"], value, probs), ["Dataset"])
-    return out
+    quantiles = {"BaseFDR": {"BaseFDRMedian": 0.5}, "BinnedFDR": {"BinnedFDRMedian": 0.5}, "DeltaFDR": {"DeltaFDRMedian": 0.5, "DeltaFDRQ05": 0.05, "DeltaFDRQ25": 0.25, "DeltaFDRQ75": 0.75, "DeltaFDRQ95": 0.95}}
+    return attach(out, percentiles_of(rows, ["Dataset"], quantiles), ["Dataset"])
 
 
 def interval_summary(rows: DataFrame, edges: Sequence[float] = tuple(EDGES)) -> DataFrame:

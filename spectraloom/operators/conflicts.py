@@ -42,7 +42,7 @@ def kmer_conflicts(peptides: DataFrame, k: int = 3, min_shared: int = 3, min_jac
     long = sides.select(F.col("t").alias("b"), F.col("n").alias("nb"), F.explode(_pieces(F.col("t"), least(shortest), full)).alias("piece"))
     fitting = (F.col("na") >= min_jaccard * F.col("nb") - 1e-9) & (F.col("nb") >= min_jaccard * F.col("na") - 1e-9)
     ahead = (F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
-    met = materialize(short.join(long, "piece").filter(ahead & fitting).select("a", "b", "na", "nb").distinct(), "met")
+    met = materialize(short.join(long.hint("merge"), "piece").filter(ahead & fitting).select("a", "b", "na", "nb").distinct(), "met")
     common = F.size(F.array_intersect(kmers(F.reverse("a"), k), kmers("b", k)))
     once = met.select(F.col("a").alias("t1"), F.col("b").alias("t2"), common.alias("shared_kmers"), F.col("na").alias("n1"), F.col("nb").alias("n2")).filter(F.col("shared_kmers") >= min_shared)
     shared = once.withColumn("ends", F.explode(F.array(F.struct("t1", "t2"), F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2"))))).select("ends.*", "shared_kmers", "n1", "n2")
@@ -154,11 +154,19 @@ def cluster_sequences(proteins: DataFrame, ident: str, seq: str, k: int = 5, ide
     would leave.
     """
     rows = proteins.select(F.col(ident).alias("id"), F.upper(seq).alias("seq")).filter("seq is not null and seq <> ''")
-    words = materialize(rows.select("id", kmers("seq", k).alias("w")).select("id", F.size("w").alias("n"), "w"), "cluster-words")
-    left = words.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode("w").alias("kmer"))
-    right = words.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("w").alias("kmer"))
-    pairs = left.join(right, "kmer").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    alike = pairs.filter(F.col("shared") >= identity**k * F.least("na", "nb")).select("a", "b")
+    words = materialize(rows.select("id", kmers("seq", k).alias("w")).filter(F.size("w") > 0), "cluster-words")
+    frequency = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    ranked = words.select("id", F.explode("w").alias("word")).join(frequency.hint("merge"), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("r"))
+    listed = materialize(ranked.select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["word"]).alias("w")), "cluster-words")
+    # Of the shorter one's words at most n - needed are not the other's: one of its n - needed + 1 rarest is.
+    share = identity**k
+    first = F.slice("w", 1, (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"))
+    short = listed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode(first).alias("word"))
+    long = listed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("w").alias("word"))
+    ahead = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    met = short.join(long.hint("merge"), "word").filter(ahead).select("a", "b").distinct()
+    sets = lambda name, w: listed.select(F.col("id").alias(name), F.col("w").alias(w)).hint("merge")
+    alike = met.join(sets("a", "x"), "a").join(sets("b", "y"), "b").filter(F.size(F.array_intersect("x", "y")) >= share * F.size("x") - 1e-9).select("a", "b")
     return first_fit_clusters(rows.select("id", F.struct((-F.length("seq")).alias("l"), "id").alias("rank")), alike)
 
 

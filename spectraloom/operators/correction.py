@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.functions.scalars import clip01, hash_fraction, in_interval, joined_capped, number
+from spectraloom.functions.scalars import clip01, hash_fraction, in_interval, is_close, number
 from spectraloom.operators import ordered
 from spectraloom.operators.ordered import running
-from spectraloom.operators.quantile import attach, exact_percentiles, ranked_values
+from spectraloom.operators.collate import capped_list
+from spectraloom.operators.quantile import attach, percentiles_of, ranked_values
 
 #: (low, high, bins) of the segments of the classical FDR (fixed values).
 SEGMENTS = ((0.0, 0.001, 5), (0.001, 0.01, 10), (0.01, 0.05, 20), (0.05, 0.1, 10), (0.1, 0.2, 10), (0.2, 0.5, 15), (0.5, 1.0, 20))
@@ -42,9 +43,7 @@ def fdr_levels(train: DataFrame) -> DataFrame:
     """One row per condition and distinct classical FDR: rows, scans, peptides, medians and means."""
     keys = ["grp", "ClassicFDR"]
     out = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("ScanNum").alias("scans"), F.count_distinct("PeptideKey").alias("peptides"), F.avg("Delta").alias("mean_delta"), F.avg("PartitionedFDR").alias("mean_partitioned"))
-    for value, name in (("Delta", "median_delta"), ("PartitionedFDR", "median_partitioned")):
-        out = attach(out, exact_percentiles(train, keys, value, {name: 0.5}), keys)
-    return out
+    return attach(out, percentiles_of(train, keys, {"Delta": {"median_delta": 0.5}, "PartitionedFDR": {"median_partitioned": 0.5}}), keys)
 
 
 def segment_of(fdr: Column, segments: Sequence[tuple] = SEGMENTS) -> Column:
@@ -125,8 +124,8 @@ def bin_summary(train: DataFrame, bins: DataFrame, segments: Sequence[tuple] = S
         F.count(F.lit(1)).alias("n_train"), F.avg("ClassicFDR").alias("mean_classic_fdr"), F.avg("PartitionedFDR").alias("mean_partitioned_fdr"), F.avg("Delta").alias("mean_delta"), F.stddev_samp("Delta").alias("sd_delta"),
         F.avg((d < 0).cast("int")).alias("fraction_lower"), F.avg((d == 0).cast("int")).alias("fraction_equal"), F.avg((d > 0).cast("int")).alias("fraction_higher"),
     ).withColumn("sem_delta", F.col("sd_delta") / F.sqrt("n_train"))
-    for value, probs in (("ClassicFDR", {"median_classic_fdr": 0.5}), ("PartitionedFDR", {"median_partitioned_fdr": 0.5}), ("Delta", {"median_delta": 0.5, "q10_delta": 0.1, "q25_delta": 0.25, "q75_delta": 0.75, "q90_delta": 0.9})):
-        stats = attach(stats, exact_percentiles(rows, keys, value, probs), keys)
+    quantiles = {"ClassicFDR": {"median_classic_fdr": 0.5}, "PartitionedFDR": {"median_partitioned_fdr": 0.5}, "Delta": {"median_delta": 0.5, "q10_delta": 0.1, "q25_delta": 0.25, "q75_delta": 0.75, "q90_delta": 0.9}}
+    stats = attach(stats, percentiles_of(rows, keys, quantiles), keys)
     return attach(bins, stats, keys, "left").withColumn("n_train", F.coalesce("n_train", F.lit(0)))
 
 
@@ -228,9 +227,8 @@ def error_statistics(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: n, mean and quantiles of predicted minus partitioned FDR."""
     rows = predicted.withColumn("error", F.col("PredictedFDR") - F.col("PartitionedFDR")).withColumn("off", F.abs("error"))
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"), F.avg("off").alias("mae"), F.max("off").alias("max_abs_error"))
-    for value, probs in (("error", {"median_error": 0.5}), ("off", {"median_abs_error": 0.5, "q75_abs_error": 0.75, "q90_abs_error": 0.9, "q95_abs_error": 0.95})):
-        out = attach(out, exact_percentiles(rows, keys, value, probs), keys)
-    return out
+    quantiles = {"error": {"median_error": 0.5}, "off": {"median_abs_error": 0.5, "q75_abs_error": 0.75, "q90_abs_error": 0.9, "q95_abs_error": 0.95}}
+    return attach(out, percentiles_of(rows, keys, quantiles), keys)
 
 
 def in_windows(predicted: DataFrame, windows: Sequence[tuple] = WINDOWS) -> DataFrame:
@@ -251,11 +249,12 @@ def cutoff_behavior(predicted: DataFrame, cutoffs: Sequence[float] = CUTOFFS) ->
     return out.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / F.col("n"), "precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
-def scan_table(rows: DataFrame, source: str) -> DataFrame:
-    """Per source and scan: least original and corrected FDR, rows, distinct FDR values and peptides."""
-    return rows.filter("ScanNum is not null and OriginalFDR is not null").groupBy(source, "ScanNum").agg(
-        F.min("OriginalFDR").alias("OriginalFDR"), F.min("CorrectedFDR").alias("CorrectedFDR"), F.count(F.lit(1)).alias("SourceRows"), F.count_distinct("OriginalFDR").alias("DistinctOriginalFDRValues"), joined_capped(F.collect_set("PeptideKey")).alias("Peptide")
-    )
+def scan_table(rows: DataFrame, source: str, cap: int | None = 100) -> DataFrame:
+    """Per source and scan: least original and corrected FDR, rows, distinct FDR values and peptides, of which at most ``cap`` are named (all if None)."""
+    usable = rows.filter("ScanNum is not null and OriginalFDR is not null")
+    keys = [source, "ScanNum"]
+    scans = usable.groupBy(*keys).agg(F.min("OriginalFDR").alias("OriginalFDR"), F.min("CorrectedFDR").alias("CorrectedFDR"), F.count(F.lit(1)).alias("SourceRows"), F.count_distinct("OriginalFDR").alias("DistinctOriginalFDRValues"))
+    return attach(scans, capped_list(usable, keys, "PeptideKey", "Peptide", cap), keys, "left").withColumn("Peptide", F.coalesce("Peptide", F.lit("")))
 
 
 def gains_and_losses(scans: DataFrame, source: str, thresholds: Sequence[float]) -> DataFrame:
@@ -268,9 +267,17 @@ def gains_and_losses(scans: DataFrame, source: str, thresholds: Sequence[float])
 
 
 def file_diagnostics(rows: DataFrame, source: str) -> DataFrame:
-    """Per source: rows, what is missing or out of range, and how the correction moved the FDR."""
+    """Per source: rows, what is missing or out of range, the range of both FDRs, and how the correction moved them.
+
+    ``equal`` counts values that are close (1e-8 + 1e-5 x original), so that a
+    value may be lower or higher and equal.
+    """
     o, c = F.col("OriginalFDR"), F.col("CorrectedFDR")
-    return rows.groupBy(source).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(o.isNull()).alias("missing_fdr"), F.count_if((o < 0) | (o > 1)).alias("out_of_range"), F.count_if(c.isNull() & o.isNotNull()).alias("uncorrected"),
-        F.count_if(c < o).alias("lowered"), F.count_if(c == o).alias("unchanged"), F.count_if(c > o).alias("raised"), F.count_distinct("ScanNum").alias("scans"), F.avg(c - o).alias("mean_shift"), F.max(F.abs(c - o)).alias("largest_shift"),
+    several = rows.filter("ScanNum is not null and OriginalFDR is not null").groupBy(source, "ScanNum").agg((F.min("OriginalFDR") != F.max("OriginalFDR")).alias("several"))
+    scans = several.groupBy(source).agg(F.count(F.lit(1)).alias("scans_with_fdr"), F.count_if("several").alias("scans_with_several_fdrs"))
+    out = rows.groupBy(source).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(o).alias("with_fdr"), F.count_if(o.isNull()).alias("missing_fdr"), F.count_if((o < 0) | (o > 1)).alias("out_of_range"), F.count_if(c.isNull() & o.isNotNull()).alias("uncorrected"),
+        F.min(o).alias("least_original"), F.max(o).alias("most_original"), F.min(c).alias("least_corrected"), F.max(c).alias("most_corrected"), F.count_if(c == 0.0).alias("corrected_to_zero"), F.count_if(c == 1.0).alias("corrected_to_one"),
+        F.count_if(c < o).alias("lowered"), F.count_if(c == o).alias("unchanged"), F.count_if(is_close(c, o)).alias("equal"), F.count_if(c > o).alias("raised"), F.count_distinct("ScanNum").alias("scans"), F.avg(c - o).alias("mean_shift"), F.max(F.abs(c - o)).alias("largest_shift"),
     )
+    return attach(out, scans, [source], "left").fillna(0, ["scans_with_fdr", "scans_with_several_fdrs"])

@@ -66,15 +66,21 @@ def entity_facts(rows: DataFrame, entity: str) -> DataFrame:
 
 
 def rollup(rows: DataFrame, entity: str, samples: Sequence[str], how: str = "sum", mode: str = "all_matches") -> DataFrame:
-    """One row per entity: sum, mean or median of its peptides per sample, zeros included."""
+    """One row per entity: sum, mean or median of its peptides per sample, zeros included; missing values are left aside."""
     kept = by_mode(rows, mode, entity).filter(F.col(entity).isNotNull())
     if how in ("sum", "mean"):
         fold = F.sum if how == "sum" else F.avg
-        values = kept.groupBy(entity).agg(*[fold(s).alias(s) for s in samples])
-        return attach(values, entity_facts(kept, entity), [entity])
+        return _with_facts(kept.groupBy(entity).agg(*[fold(s).alias(s) for s in samples]), kept, entity)
     if how != "median":
         raise ValueError(f"no such rollup: {how}")
-    return attach(_medians(_unfolded(kept, entity, samples), entity, samples), entity_facts(kept, entity), [entity])
+    return _with_facts(_medians(_unfolded(kept, entity, samples), entity, samples), kept, entity)
+
+
+def _with_facts(values: DataFrame, rows: DataFrame, entity: str) -> DataFrame:
+    """The entities of ``rows`` with their ``values`` and facts; an entity without any value keeps its facts."""
+    facts = entity_facts(rows, entity)
+    met = attach(facts, values, [entity], "left")
+    return met.select(entity, *[c for c in values.columns if c != entity], *[c for c in facts.columns if c != entity])
 
 
 def with_annotations(rolled: DataFrame, rows: DataFrame, entity: str, mode: str = "all_matches") -> DataFrame:
@@ -105,21 +111,28 @@ def _medians(long: DataFrame, entity: str, samples: Sequence[str]) -> DataFrame:
     return medians.groupBy(entity).pivot("sample", list(samples)).agg(F.first("x"))
 
 
-def rrollup(rows: DataFrame, entity: str, samples: Sequence[str], mode: str = "all_matches", alpha: float | None = None) -> DataFrame:
-    """Per entity and sample the median of its peptides, each scaled to the entity's reference peptide.
+def rrollup(rows: DataFrame, entity: str, samples: Sequence[str], mode: str = "all_matches", alpha: float | None = None, summary: str = "median") -> DataFrame:
+    """Per entity and sample the median or mean of its peptides, each scaled to the entity's reference peptide.
 
-    The reference is the peptide with the largest total (then the smallest
-    name). A peptide is scaled by the median ratio of reference to peptide
-    over the samples where the peptide is not 0; one that cannot be scaled is
+    The reference is the peptide with the fewest missing values (null or NaN),
+    then with the largest total, then with the smallest name. A peptide is
+    scaled by the median ratio of reference to peptide over the samples where
+    both have a value and the peptide's is not 0; one that cannot be scaled is
     left out. With ``alpha`` at most one outlier per entity and sample goes.
+    Missing values are no values: where none is left the result is null.
     """
+    if summary not in ("median", "mean"):
+        raise ValueError(f"no such summary: {summary}")
     kept = by_mode(rows, mode, entity).filter(F.col(entity).isNotNull())
     own = ["PeptideFlanked", "Protein"]
-    vector = kept.select(entity, *[c for c in own if c != entity], F.array(*samples).alias("v")).withColumn("total", F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
+    values = F.array(*[F.when(~F.isnan(s), F.col(s)) for s in samples])
+    held = F.filter("v", lambda x: x.isNotNull())
+    vector = kept.select(entity, *[c for c in own if c != entity], values.alias("v")).withColumns({"missing": F.size("v") - F.size(held), "total": F.aggregate(held, F.lit(0.0), lambda a, x: a + x)})
     name = F.struct(*own)
-    reference = vector.groupBy(entity).agg(F.min(F.struct((-F.col("total")).alias("t"), name.alias("name"), F.col("v").alias("ref"))).alias("r"), F.count(F.lit(1)).alias("peptides")).select(entity, "r.name", "r.ref", "peptides")
+    reference = vector.groupBy(entity).agg(F.min(F.struct("missing", (-F.col("total")).alias("t"), name.alias("name"), F.col("v").alias("ref"))).alias("r"), F.count(F.lit(1)).alias("peptides")).select(entity, "r.name", "r.ref", "peptides")
     met = attach(vector, reference, [entity])
-    ratios = F.array_sort(F.transform(F.filter(F.arrays_zip("v", "ref"), lambda p: p["v"] != 0), lambda p: p["ref"] / p["v"]))
+    both = F.filter(F.arrays_zip("v", "ref"), lambda p: p["v"].isNotNull() & p["ref"].isNotNull() & (p["v"] != 0))
+    ratios = F.array_sort(F.transform(both, lambda p: p["ref"] / p["v"]))
     size = F.size("ratios")
     middle = F.when(size > 0, (F.get("ratios", F.floor((size - 1) / 2).cast("int")) + F.get("ratios", F.floor(size / 2).cast("int"))) / 2)
     is_reference = (F.col("peptides") == 1) | (F.struct(*own) == F.col("name"))
@@ -128,7 +141,9 @@ def rrollup(rows: DataFrame, entity: str, samples: Sequence[str], mode: str = "a
     long = scaled.select(entity, name.alias("name"), F.posexplode("v").alias("k", "raw"), "factor").select(entity, "name", F.element_at(F.array(*[F.lit(s) for s in samples]), F.col("k") + 1).alias("sample"), (F.col("raw") * F.col("factor")).alias("x"))
     if alpha is not None:
         long = without_outlier(long, [entity, "sample"], "name", "x", alpha)
-    return attach(_medians(long, entity, samples), entity_facts(kept, entity), [entity])
+    if summary == "mean":
+        return _with_facts(long.groupBy(entity).pivot("sample", list(samples)).agg(F.avg("x")), kept, entity)
+    return _with_facts(_medians(long, entity, samples), kept, entity)
 
 
 def t_quantile(p: float, df: int) -> float:
@@ -192,10 +207,15 @@ def coverage(rows: DataFrame, proteins: DataFrame) -> DataFrame:
     distinct = rows.select("sample", "PeptideFlanked", "Protein").distinct()
     parts = distinct.join(proteins, "Protein").withColumn("p", flanked_parts("PeptideFlanked"))
     starts = flanked_positions(F.col("p.core"), F.col("p.n_flank"), F.col("p.c_flank"), F.col("seq"))
-    spans = parts.select("sample", "Protein", "PeptideFlanked", F.length("seq").alias("residues"), F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.length("p.core") - 1)))).alias("at"))
-    counts = spans.groupBy("sample", "Protein").agg(F.count_distinct("PeptideFlanked").alias("num_pep"), F.max("residues").alias("residues"))
-    covered = spans.select("sample", "Protein", F.explode("at").alias("at")).distinct().groupBy("sample", "Protein").count()
-    return counts.join(covered, ["sample", "Protein"], "left").select("sample", "Protein", "num_pep", (100 * F.coalesce("count", F.lit(0)) / F.greatest("residues", F.lit(1))).alias("Coverage"))
+    spans = parts.select("sample", "Protein", F.length("seq").alias("residues"), F.length("p.core").alias("width"), F.posexplode_outer(starts).alias("k", "start"))
+    # What a span adds is what lies behind the farthest end so far.
+    before = Window.partitionBy("sample", "Protein").orderBy(F.asc_nulls_last("start")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("width") - 1
+    fresh = F.greatest(end - F.greatest(F.col("start") - 1, F.coalesce(F.max(end).over(before), F.lit(0))), F.lit(0))
+    counts = spans.withColumn("fresh", F.when(F.col("start").isNotNull(), fresh)).groupBy("sample", "Protein").agg(
+        F.count_if(F.coalesce(F.col("k") == 0, F.lit(True))).alias("num_pep"), F.max("residues").alias("residues"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("covered")
+    )
+    return counts.select("sample", "Protein", "num_pep", (100 * F.col("covered") / F.greatest("residues", F.lit(1))).alias("Coverage"))
 
 
 def with_enough_peptides(covered: DataFrame, rows: DataFrame, least: int, scope: str = "per_sample") -> DataFrame:

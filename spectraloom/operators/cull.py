@@ -76,12 +76,14 @@ def recovery_by_scan(keys: DataFrame, culled: DataFrame, syn: DataFrame, partiti
 
 
 def recovery_summary(by_scan: DataFrame) -> DataFrame:
-    """One row: scans, how many were recovered, and how many were recovered in k partitions, as text ``k:n``."""
-    histogram = by_scan.groupBy("Recovered").count()
-    text = histogram.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Recovered", "count"))), lambda s: F.concat(s["Recovered"].cast("string"), F.lit(":"), s["count"].cast("string"))), ";").alias("histogram"))
-    counts = by_scan.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("Recovered") > 0).alias("recovered"), F.count_if(F.col("RecoveredSIC") > 0).alias("recovered_sic"), F.count_if(F.col("AddedSYN") > 0).alias("recovered_syn"))
+    """One row: scans, how many were recovered, by which layer, seen in SYN, and of each in how many partitions, as text ``k:n``."""
+    layers = {"Recovered": "recovered", "RecoveredSIC": "recovered_sic", "AddedSYN": "recovered_syn", "ObservedSYN": "observed_syn"}
+    text = lambda layer: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == layer, F.struct("partitions", "scans")))), lambda s: F.concat(s["partitions"].cast("string"), F.lit(":"), s["scans"].cast("string"))), ";")
+    # One row per layer and number of partitions.
+    histograms = recovery_distributions(by_scan).agg(*[text(layer).alias("histogram" if name == "recovered" else f"{name}_histogram") for layer, name in layers.items()])
+    counts = by_scan.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(layer) > 0).alias(name) for layer, name in layers.items()])
     # Two frames of one row.
-    return counts.crossJoin(text).withColumn("unrecovered", F.col("total") - F.col("recovered")).withColumn("fraction", F.round(F.coalesce(F.try_divide(F.col("recovered"), F.col("total")), F.lit(0.0)), 9))
+    return counts.crossJoin(histograms).withColumn("unrecovered", F.col("total") - F.col("recovered")).withColumn("fraction", F.round(F.coalesce(F.try_divide(F.col("recovered"), F.col("total")), F.lit(0.0)), 9))
 
 
 def recovery_distributions(by_scan: DataFrame) -> DataFrame:
@@ -97,3 +99,35 @@ def file_summary(sic: DataFrame, syn: DataFrame, culled: DataFrame, partition: s
     c = culled.groupBy(partition).agg(F.count(F.lit(1)).alias("kept_rows"), F.count_if(F.col("SourceLayer") == "SIC").alias("kept_sic"), F.count_if(F.col("SourceLayer") == "SYN").alias("kept_syn"), F.count_distinct("CorePeptide").alias("kept_peptides"), F.count_distinct("Protein").alias("kept_proteins"))
     joint = a.join(b, partition, "full").join(c, partition, "full")
     return joint.select(partition, *[F.coalesce(x, F.lit(0)).alias(x) for x in joint.columns if x != partition])
+
+
+def file_report(sic: DataFrame, syn: DataFrame, keys: DataFrame, culled: DataFrame, partition: str, expected: DataFrame | None = None) -> DataFrame:
+    """Per partition every counter of the culling: rows in, kept and added, targets and decoys, scans by category, and what SYN could give.
+
+    ``expected`` (partition) lists partitions that must have a row: one whose
+    inputs are missing has zeros and no RowFDR.
+    """
+    scan = [partition, "ScanNum"]
+    none = {name: F.lit(0) for name in ("sic", "kept", "named", "syn", "out_sic", "out_syn", "decoys")}
+    tagged = lambda df, **own: df.select(*scan, *[own.get(name, zero).cast("int").alias(name) for name, zero in none.items()])
+    marked = keys.withColumn("__kept", F.lit(1))
+    core = core_peptide("Peptide")
+    mine = sic.withColumn("CorePeptide", core).join(marked, ["ScanNum", "CorePeptide"], "left")
+    layer = lambda name: F.col("SourceLayer") == name
+    rows = tagged(mine, sic=F.lit(1), kept=F.coalesce("__kept", F.lit(0)), named=F.coalesce(F.col("CorePeptide") != "", F.lit(False)))
+    rows = rows.unionByName(tagged(supported(syn, keys), syn=F.lit(1)))
+    rows = rows.unionByName(tagged(culled, out_sic=layer("SIC"), out_syn=layer("SYN"), decoys=has_decoy("Protein")))
+    scans = rows.groupBy(*scan).agg(*[F.sum(name).alias(name) for name in none])
+    known = keys.select("ScanNum").distinct().withColumn("__known", F.lit(True))
+    joint = scans.join(known, "ScanNum", "left").withColumn("__known", F.coalesce("__known", F.lit(False)))
+    named, got = F.col("named") > 0, (F.col("kept") > 0) | (F.col("out_syn") > 0)
+    out = joint.groupBy(partition).agg(
+        F.sum("sic").alias("InputRows"), F.sum("kept").alias("SICRowsKept"), F.sum("out_syn").alias("SYNFallbackRowsAdded"), F.sum(F.col("out_sic") + F.col("out_syn")).alias("OutputRows"),
+        F.sum(F.col("out_sic") + F.col("out_syn") - F.col("decoys")).alias("TargetRows"), F.sum("decoys").alias("DecoyRows"),
+        F.count_if(named).alias("GroupUniqueScans"), F.count_if(F.col("kept") > 0).alias("SICRecoveredScans"), F.count_if(F.col("out_syn") > 0).alias("SYNFallbackScans"), F.count_if(got).alias("RecoveredScans"),
+        F.count_if(named & F.col("__known") & ~got).alias("AlternativeOnlyScans"), F.count_if(named & ~F.col("__known")).alias("GroupScansNotInReference"),
+        F.sum("syn").alias("SYNMatchingRowsAvailable"), F.count_if(F.col("syn") > 0).alias("SYNMatchingScansAvailable"),
+    )
+    if expected is not None:
+        out = expected.select(partition).distinct().join(out, partition, "left").fillna(0, [c for c in out.columns if c != partition])
+    return out.withColumn("RowFDR", F.try_divide(F.col("DecoyRows"), F.col("OutputRows")))

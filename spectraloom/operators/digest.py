@@ -51,3 +51,29 @@ def digest_stats(mapped: DataFrame, gone: DataFrame) -> DataFrame:
         F.count_if(F.col("Reason").isNull()).alias("kept"),
         F.round(F.coalesce(F.try_divide(F.count_if(F.col("Reason") == "tda_overlap"), F.count_if(~F.coalesce(F.col("Reason") == "noncanonical", F.lit(False)))), F.lit(0.0)), 10).alias("overlap_fraction"),
     )
+
+
+def digest_report(proteins: DataFrame, ident: str, seq: str, shortest: int = 6, longest: int = 50, remove_overlaps: bool = True) -> DataFrame:
+    """One row with every counter of a digest: proteins, fragments before and after each removal, reversed pairs and palindromes."""
+    upper = F.upper(F.coalesce(seq, F.lit("")))
+    read = proteins.agg(F.count(F.lit(1)).alias("proteins_read"), F.count_if(~is_canonical(upper)).alias("proteins_with_noncanonical_residues"))
+    pieces = proteins.select(F.explode(trypsin(upper)).alias("Peptide")).filter(F.length("Peptide").between(shortest, longest))
+    counts = pieces.groupBy("Peptide").agg(F.count(F.lit(1)).alias("n"))
+    partner = counts.filter(is_canonical("Peptide")).select(F.reverse("Peptide").alias("__partner"))
+    clean, met = is_canonical("Peptide"), F.col("__partner").isNotNull() & F.lit(remove_overlaps)
+    joint = counts.join(partner, F.col("Peptide") == F.col("__partner"), "left")
+    totals = joint.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("peptides_generated_pre_dedup"),
+        F.count_if(clean).alias("unique_canonical_peptides_output_pre_tda"),
+        F.coalesce(F.sum(F.when(~clean, F.col("n"))), F.lit(0)).alias("noncanonical_peptides_removed_total"),
+        F.count_if(~clean).alias("noncanonical_peptides_removed_unique"),
+        F.count_if(clean & met & (F.col("Peptide") <= F.reverse("Peptide"))).alias("tda_overlap_pairs"),
+        F.count_if(clean & met).alias("tda_overlap_removed_unique"),
+        F.count_if(clean & met & (F.col("Peptide") == F.reverse("Peptide"))).alias("tda_overlap_palindromes"),
+    )
+    share = F.coalesce(F.try_divide(F.col("tda_overlap_removed_unique"), F.col("unique_canonical_peptides_output_pre_tda")), F.lit(0.0))
+    # Two frames of one row.
+    return read.crossJoin(totals).withColumns({
+        "tda_overlap_removed_fraction": F.round(share, 10), "tda_overlap_removed_percent": F.round(100 * share, 10), "tda_overlap_removal_enabled": F.lit(int(remove_overlaps)),
+        "unique_canonical_peptides_output_post_tda": F.col("unique_canonical_peptides_output_pre_tda") - F.col("tda_overlap_removed_unique"),
+    })

@@ -17,16 +17,18 @@ def best_per_scan(df: DataFrame, keys: Sequence[str], intensity: str, ties: Sequ
     return df.filter(F.col(intensity).isNotNull()).withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").drop("__rank")
 
 
-def monotone_fdr(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], protein: str = "Protein", max_group_rows: int | None = None) -> DataFrame:
+def monotone_fdr(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], protein: str = "Protein", max_group_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Adds IsDecoy, FDR and MSMSScore.
 
     FDR is decoys / targets up to a row in order of score (nulls last, then
     ``ties``), at most 1, then the least of this and all later rows. Rows
     before the first target have none. Zero scores count as 1 in MSMSScore.
+    ``counted`` is a frame with the keys and at least the rows of ``df`` that
+    is cheaper to count groups on, such as the table that ``df`` was chosen from.
     """
     order = [score, *ties]
     marked = df.withColumn("IsDecoy", is_decoy(protein))
-    large = largest_group(df.select(*keys), keys) > (MAX_GROUP_ROWS if max_group_rows is None else max_group_rows)
+    large = largest_group((df if counted is None else counted).select(*keys), keys) > (MAX_GROUP_ROWS if max_group_rows is None else max_group_rows)
     if large:
         marked = in_slices(marked, keys, order, marked.count(), max_group_rows)
     counted = running(marked, keys, order, {"__decoys": F.col("IsDecoy").cast("bigint"), "__targets": (~F.col("IsDecoy")).cast("bigint")}, large)

@@ -52,3 +52,17 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         share = F.max(place - F.floor(place))
         columns.append((low + (high - low) * share).alias(name))
     return ranked.groupBy(*keys).agg(*columns)
+
+
+def percentiles_of(df: DataFrame, keys: Sequence[str], probs: dict[str, dict[str, float]]) -> DataFrame:
+    """``exact_percentiles`` of several columns in one pass: (keys, one column per name in ``probs``, which gives each column's names and probs).
+
+    A group that has no value of a column has null there.
+    """
+    names = {name: (column, p) for column, own in probs.items() for name, p in own.items()}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in probs]))
+    long = df.select(*keys, pairs.alias("__p")).select(*keys, F.col("__p.c").alias("__c"), F.col("__p.v").alias("__x"))
+    every = sorted({p for _, p in names.values()})
+    found = exact_percentiles(long, [*keys, "__c"], "__x", {f"__q{k}": p for k, p in enumerate(every)})
+    pick = lambda name: F.max(F.when(F.col("__c") == names[name][0], F.col(f"__q{every.index(names[name][1])}"))).alias(name)
+    return found.groupBy(*keys).agg(*[pick(name) for name in names])

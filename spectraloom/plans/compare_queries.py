@@ -43,6 +43,11 @@ def core_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(collect.core_summary(collect.observations(_rows(spark, sf_dir))))
 
 
+def core_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation that lends each scan and peptide its metadata."""
+    return collect.representatives(collect.observations(_rows(spark, sf_dir)), ["ScanNum", "CorePeptide"]).select("ScanNum", "CorePeptide", "RunFolder", "Peptide", "Protein", "SpecEValue", "PartitionFDR", "MSGFScore")
+
+
 def compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = compare.base_summary(fixture(spark, sf_dir, "fx_base"))
     binned = collect.fdr_summary(collect.observations(_rows(spark, sf_dir)), ["ScanNum", "CorePeptide"])
@@ -99,7 +104,7 @@ _SHARED = """rows as (select ConditionName as Dataset, BaseFDR, BinnedFDRMedian
 """
 _q = lambda c, p: f"quantile_cont({c}, {p})"
 QUERIES = {
-    "partition_observations": partition_observations, "partition_fdr_summary": partition_fdr_summary, "partition_conflicts": partition_conflicts, "core_summary": core_summary, "compare_status": compare_status,
+    "partition_observations": partition_observations, "partition_fdr_summary": partition_fdr_summary, "partition_conflicts": partition_conflicts, "core_summary": core_summary, "core_representatives": core_representatives, "compare_status": compare_status,
     "threshold_report": threshold_report, "delta_interval_stats": delta_interval_stats, "fdr_overall_summary": fdr_overall_summary, "fdr_interval_summary": fdr_interval_summary, "fdr_threshold_summary": fdr_threshold_summary,
 }
 SQL = {
@@ -113,6 +118,7 @@ SQL = {
  e as (select ScanNum, CorePeptide, min(UnmodifiedPeptide) as UnmodifiedPeptide, count(distinct Protein) as BinnedProteinCount, string_agg(distinct Protein, ';' order by Protein) as BinnedProteins,
    max(PartitionExactPeptideFormCount) as MaxExactFormsWithinPartition, count(*) filter (PartitionExactPeptideFormCount > 1) as PartitionsWithMultipleExactForms from obs group by 1, 2)
  select * from summary join e using (ScanNum, CorePeptide) join f using (ScanNum, CorePeptide)"""),
+    "core_representatives": oracle("fx_partition_obs", then=_OBS + "select ScanNum, CorePeptide, RunFolder, Peptide, Protein, SpecEValue, PartitionFDR, MSGFScore from obs qualify row_number() over (partition by ScanNum, CorePeptide order by SpecEValue nulls last, PartitionFDR nulls last, RunFolder) = 1"),
     "compare_status": oracle("fx_partition_obs", "fx_base", then=_OBS + f""", base as (select ScanNum, {_C} as CorePeptide, median(FDR) as b from fx_base group by 1, 2), bin as (select ScanNum, CorePeptide, median(PartitionFDR) as m from obs group by 1, 2)
  select coalesce(base.ScanNum, bin.ScanNum) as ScanNum, coalesce(base.CorePeptide, bin.CorePeptide) as CorePeptide,
   case when b is not null and m is not null then 'shared' when b is not null then 'base_only' else 'binning_only' end as ComparisonStatus, b is not null as InBase, m is not null as InBinning,

@@ -13,20 +13,22 @@ LEAST, WINDOW, STRIDE = 40, 100, 10
 
 
 def _train(spark, sf_dir):
-    return C.training_rows(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName")
+    """The training rows, written once: every step behind them reads them more than once."""
+    return materialize(C.training_rows(table(spark, sf_dir, "fdr_compare_wide"), "ConditionName"), "train")
 
 
-def _levels(spark, sf_dir):
-    return materialize(C.fdr_levels(_train(spark, sf_dir)), "levels")
+def _levels(train):
+    return materialize(C.fdr_levels(train), "levels")
 
 
-def _curve(spark, sf_dir):
-    windows = C.rolling_windows(_levels(spark, sf_dir), WINDOW, STRIDE)
+def _curve(train):
+    windows = C.rolling_windows(_levels(train), WINDOW, STRIDE)
     return materialize(C.monotone_anchors(C.anchors(windows)), "curve")
 
 
 def _predicted(spark, sf_dir):
-    return C.apply_curve(_train(spark, sf_dir), _curve(spark, sf_dir), "ClassicFDR", "PredictedFDR")
+    train = _train(spark, sf_dir)
+    return C.apply_curve(train, _curve(train), "ClassicFDR", "PredictedFDR")
 
 
 def correction_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +36,17 @@ def correction_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.rolling_windows(_levels(spark, sf_dir), WINDOW, STRIDE))
+    return rounded(C.rolling_windows(_levels(_train(spark, sf_dir)), WINDOW, STRIDE))
 
 
 def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = materialize(_train(spark, sf_dir), "train")
+    train = _train(spark, sf_dir)
     return rounded(C.bin_summary(train, materialize(C.quantile_bins(train, LEAST), "bins")))
 
 
 def sparse_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile bins for a tenth of the wanted rows, joined until they have the wanted rows."""
-    train = materialize(_train(spark, sf_dir), "train")
+    train = _train(spark, sf_dir)
     bins = materialize(C.quantile_bins(train, LEAST // 10), "bins")
     counts = C.in_bins(train, bins).groupBy("grp", "segment", "bin").agg(F.count(F.lit(1)).alias("n"))
     counted = C.attach(bins, counts, ["grp", "segment", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -52,15 +54,15 @@ def sparse_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.anchors(C.rolling_windows(_levels(spark, sf_dir), WINDOW, STRIDE)))
+    return rounded(C.anchors(C.rolling_windows(_levels(_train(spark, sf_dir)), WINDOW, STRIDE)))
 
 
 def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_curve(spark, sf_dir).select("grp", "fdr_anchor", "n_train", "raw_corrected", "corrected"))
+    return rounded(_curve(_train(spark, sf_dir)).select("grp", "fdr_anchor", "n_train", "raw_corrected", "corrected"))
 
 
 def curve_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.reversals(_curve(spark, sf_dir)), 8)
+    return rounded(C.reversals(_curve(_train(spark, sf_dir))), 8)
 
 
 def apply_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,33 @@ QUERIES = {
     "correction_levels": correction_levels, "rolling_windows": rolling_windows, "quantile_bins": quantile_bins, "sparse_bins": sparse_bins, "anchors": anchors, "isotonic_curve": isotonic_curve, "curve_reversals": curve_reversals,
     "apply_correction": apply_correction, "validation_windows": validation_windows, "cutoff_confusion": cutoff_confusion, "hash_split": hash_split, "scan_gain_loss": scan_gain_loss, "correction_diagnostics": correction_diagnostics,
 }
+# Quantile bins: every (grp, segment) with its edges at (j / bins) of its values, then what each bin holds.
+_LIMITS = "limits as (select * from (values " + ", ".join(f"({k}, {float(a)}::double, {float(b)}::double, {n})" for k, (a, b, n) in enumerate(C.SEGMENTS, 1)) + ") v(segment, seg_low, seg_high, asked))"
+
+
+def _bins_sql(least: int) -> str:
+    return f""", {_LIMITS}, seg as (select *, {_SEG} as segment from train where {_SEG} is not null),
+ranked as (select grp, segment, ClassicFDR as v, row_number() over (partition by grp, segment order by ClassicFDR) - 1 as i, count(*) over (partition by grp, segment) as total from seg),
+planned as (select g.grp, l.*, greatest(1, least(asked, coalesce(c.n, 0) // {least})) as bins, coalesce(c.n, 0) as n from (select distinct grp from train) g cross join limits l left join (select grp, segment, count(*) as n from seg group by 1, 2) c on c.grp is not distinct from g.grp and c.segment = l.segment),
+places as (select grp, segment, j, j / bins * (n - 1) as place from (select *, unnest(range(1, bins)) as j from planned)),
+cuts as (select p.grp, p.segment, j, min(v) + (max(v) - min(v)) * any_value(place - floor(place)) as edge from places p join ranked r on r.grp is not distinct from p.grp and r.segment = p.segment and r.i in (floor(place)::bigint, ceil(place)::bigint) group by 1, 2, 3),
+edges as (select p.grp, p.segment, list_sort(list_distinct(list_concat([any_value(seg_low), any_value(seg_high)], coalesce(list(edge) filter (edge is not null), [])))) as e from planned p left join cuts c on c.grp is not distinct from p.grp and c.segment = p.segment group by 1, 2),
+bins as (select grp, segment, b as bin, e[b] as low, e[b + 1] as high from (select *, unnest(range(1, len(e))) as b from edges)),
+held as (select b.grp, b.segment, b.bin, low, high, s.ClassicFDR, s.PartitionedFDR, s.Delta from bins b left join seg s on s.grp is not distinct from b.grp and s.segment = b.segment and s.ClassicFDR >= low and (s.ClassicFDR < high or b.segment = {len(C.SEGMENTS)} and s.ClassicFDR = high and high = 1))"""
+
+
+_SPARSE = _bins_sql(LEAST // 10) + f""", counted as (select grp, segment, bin, low, high, count(ClassicFDR) as n from held group by all),
+numbered as (select *, row_number() over (partition by grp, segment order by bin) as i, sum(n) over (partition by grp, segment) as total from counted),
+walk as (select grp, segment, i, low, high, n, total, 1 as k, n as open_rows, 1 as size from numbered where i = 1
+ union all select x.grp, x.segment, x.i, x.low, x.high, x.n, x.total, case when w.open_rows >= {LEAST} then k + 1 else k end, case when w.open_rows >= {LEAST} then x.n else w.open_rows + x.n end, 1 from walk w join numbered x on x.grp is not distinct from w.grp and x.segment = w.segment and x.i = w.i + 1),
+last_open as (select grp, segment, max(k) as k, arg_max(open_rows, i) as open_rows from walk group by 1, 2),
+placed as (select w.grp, w.segment, w.i, w.low, w.high, w.n, case when w.k = l.k and l.open_rows < {LEAST} and l.k > 1 then l.k - 1 else w.k end as bin from walk w join last_open l on l.grp is not distinct from w.grp and l.segment = w.segment)
+select grp, segment, bin::integer as bin, {_R("min(low)", "low")}, {_R("max(high)", "high")}, sum(n)::bigint as n, count(*)::integer as merged from placed group by 1, 2, 3"""
 SQL = {
+    "quantile_bins": "with " + _TRAIN + _bins_sql(LEAST) + f""" select grp, segment, bin::integer as bin, {_R("any_value(low)", "low")}, {_R("any_value(high)", "high")}, count(ClassicFDR) as n_train, {_R("avg(ClassicFDR)", "mean_classic_fdr")}, {_R("avg(PartitionedFDR)", "mean_partitioned_fdr")}, {_R("avg(Delta)", "mean_delta")}, {_R("stddev_samp(Delta)", "sd_delta")},
+ {_R("avg((Delta < 0)::int)", "fraction_lower")}, {_R("avg((Delta = 0)::int)", "fraction_equal")}, {_R("avg((Delta > 0)::int)", "fraction_higher")}, {_R("stddev_samp(Delta) / sqrt(count(Delta))", "sem_delta")}, {_R("median(ClassicFDR)", "median_classic_fdr")}, {_R("median(PartitionedFDR)", "median_partitioned_fdr")},
+ {_R("median(Delta)", "median_delta")}, {_R("quantile_cont(Delta, 0.1)", "q10_delta")}, {_R("quantile_cont(Delta, 0.25)", "q25_delta")}, {_R("quantile_cont(Delta, 0.75)", "q75_delta")}, {_R("quantile_cont(Delta, 0.9)", "q90_delta")} from held group by 1, 2, 3""",
+    "sparse_bins": "with recursive " + _TRAIN + _SPARSE,
     "correction_levels": "with " + _TRAIN + _LEVELS + f" select grp, {_R('ClassicFDR', 'ClassicFDR')}, rows, scans, peptides, {_R('mean_delta', 'mean_delta')}, {_R('mean_partitioned', 'mean_partitioned')}, {_R('median_delta', 'median_delta')}, {_R('median_partitioned', 'median_partitioned')} from levels",
     "rolling_windows": "with " + _TRAIN + _LEVELS + _WINDOWS + f" select grp, segment, start, {_names[0].replace(' ', ', ')}, {', '.join(_R(n, n) for n in _names[1].split())} from windows",
     "anchors": "with " + _TRAIN + _LEVELS + _WINDOWS + _ANCHORS + f" select grp, {_R('fdr_anchor', 'fdr_anchor')}, {_R('delta_anchor', 'delta_anchor')}, n_train, role from anchors",
@@ -143,7 +171,9 @@ SQL = {
  select grp, Threshold, count(*) as UniqueScans, count(*) filter (a) as OriginalPassScans, count(*) filter (b) as CorrectedPassScans, count(*) filter (not a and b) as GainedScans, count(*) filter (a and not b) as LostScans,
   count(*) filter (b) - count(*) filter (a) as NetPassScanChange, count(*) filter (a and b) as PassBothScans, count(*) filter (not a and not b) as FailBothScans, count(distinct pep) filter (not a and b and pep <> '') as GainedUniquePeptideStrings,
   case when grouping(grp) = 1 then 'ALL_FILES' else 'file' end as Scope from y group by grouping sets ((grp, Threshold), (Threshold))""",
-    "correction_diagnostics": _UP_TO + _APPLY + f""", r as (select grp, ScanNum, ClassicFDR as o, round(PredictedFDR, 8) as c from predicted)
+    "correction_diagnostics": _UP_TO + _APPLY + f""", r0 as (select grp, ScanNum, ClassicFDR as o, round(PredictedFDR, 8) as c from predicted),
+ s as (select grp as g, count(*) as n, count(*) filter (k > 1) as several from (select grp, ScanNum, count(distinct o) as k from r0 group by 1, 2) group by 1), r as (select r0.*, n, several from r0 join s on s.g is not distinct from r0.grp)
  select grp, count(*) as rows, count(*) filter (o is null) as missing_fdr, count(*) filter (o < 0 or o > 1) as out_of_range, count(*) filter (c is null and o is not null) as uncorrected, count(*) filter (c < o) as lowered, count(*) filter (c = o) as unchanged, count(*) filter (c > o) as raised,
-  count(distinct ScanNum) as scans, {_R('avg(c - o)', 'mean_shift', 7)}, {_R('max(abs(c - o))', 'largest_shift', 7)} from r group by grp""",
+  count(o) as with_fdr, {_R('min(o)', 'least_original', 7)}, {_R('max(o)', 'most_original', 7)}, {_R('min(c)', 'least_corrected', 7)}, {_R('max(c)', 'most_corrected', 7)}, count(*) filter (c = 0) as corrected_to_zero, count(*) filter (c = 1) as corrected_to_one, count(*) filter (abs(c - o) <= 1e-8 + 1e-5 * abs(o)) as equal,
+  any_value(n) as scans_with_fdr, any_value(several) as scans_with_several_fdrs, count(distinct ScanNum) as scans, {_R('avg(c - o)', 'mean_shift', 7)}, {_R('max(abs(c - o))', 'largest_shift', 7)} from r group by grp""",
 }

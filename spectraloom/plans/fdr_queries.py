@@ -21,7 +21,7 @@ def sic_best_per_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def psm_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Rounding drops the sign of the -0.0 that a score of 1 gives; the outer minus restores it.
-    scored = monotone_fdr(_best(spark, sf_dir), ["Run"], "SpecEValue", ["ScanNum", *TIES])
+    scored = monotone_fdr(_best(spark, sf_dir), ["Run"], "SpecEValue", ["ScanNum", *TIES], counted=fixture(spark, sf_dir, "fx_psm_raw"))
     return scored.select("Run", "ScanNum", "Peptide", "Protein", "IsDecoy", F.abs("DelM_PPM").alias("absPPM"), F.round("FDR", 9).alias("FDR"), (-F.round(-F.col("MSMSScore"), 9)).alias("MSMSScore"))
 
 

@@ -77,9 +77,9 @@ def syn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _map_edges(spark, sf_dir):
-    """Peptides of every third part with the proteins that SYN has for them."""
+    """Every peptide with the proteins that SYN has for it; peptides that it has with decoys only are not in the map."""
     rows = fixture(spark, sf_dir, "fx_syn")
-    return rows.select(S.canonical_peptide("Peptide").alias("Peptide"), "Protein").filter((F.ascii(F.substr("Peptide", F.lit(7), F.lit(1))) % 3 != 0) & ~S.is_decoy("Protein")).distinct()
+    return rows.select(S.canonical_peptide("Peptide").alias("Peptide"), "Protein").filter(~S.is_decoy("Protein")).distinct()
 
 
 def _parents(spark, sf_dir):
@@ -102,7 +102,7 @@ def expansion_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark, sf_dir):
-    return monotone_fdr(_best(spark, sf_dir), ["Run"], "SpecEValue", ["ScanNum", *TIES])
+    return monotone_fdr(_best(spark, sf_dir), ["Run"], "SpecEValue", ["ScanNum", *TIES], counted=fixture(spark, sf_dir, "fx_psm_raw"))
 
 
 def _filtered(**options):
@@ -113,6 +113,14 @@ def _filtered(**options):
     return query
 
 
+def filter_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict filter: FDR, MSMSScore and QValue at once. Scores are a hundred thousandth of the fixture's, and zeros are poor ones, so that some reach it."""
+    best = _best(spark, sf_dir).withColumn("SpecEValue", F.when(F.col("SpecEValue") > 0, F.col("SpecEValue")).otherwise(F.lit(0.00005)) / 100_000)
+    scored = monotone_fdr(best, ["Run"], "SpecEValue", ["ScanNum", *TIES], counted=fixture(spark, sf_dir, "fx_psm_raw"))
+    out = psm.filtered_targets(scored, "stringent")
+    return out.select("Run", "ScanNum", "Peptide", "PeptideFlanked", "Protein", F.round("FDR", 9).alias("FDR"), "ParentIonIntensity").distinct()
+
+
 def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return psm.filter_stats(psm.metric_filter(_scored(spark, sf_dir), "FDR", 0.2))
 
@@ -160,6 +168,17 @@ def cull_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cull.file_summary(sic, syn, _culled(spark, sf_dir), "RunFolder")
 
 
+def cull_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counter of the culling per partition; a tenth partition is expected, but has no input."""
+    sic, syn, keys = _cull_inputs(spark, sf_dir)
+    folders = spark.range(1, 11).select(F.concat(F.lit("exp_group_"), "id").alias("RunFolder"))
+    return cull.file_report(sic, syn, keys, materialize(_culled(spark, sf_dir), "culled"), "RunFolder", folders).withColumn("RowFDR", F.round("RowFDR", 9))
+
+
+def digest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.digest_report(fixture(spark, sf_dir, "fx_protein"), "protein_id", "seq")
+
+
 def reference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cull.reference_summary(fixture(spark, sf_dir, "fx_base"))
 
@@ -174,7 +193,7 @@ _ASSIGN = ", assigned as (select Peptide, cast(ntile(9) over (order by md5(conca
 _CORE = "(case when length(trim({0})) - length(replace(trim({0}), '.', '')) >= 2 then trim(regexp_extract(trim({0}), '^[^.]*\\.(.*)\\.[^.]*$', 1)) else trim({0}) end)"
 _C = _CORE.format("Peptide")
 _KEY = f"regexp_replace({_C}, '[^A-Za-z]', '', 'g')"
-_MAP = f""", known as (select distinct {_KEY} as k, Protein as mapped from fx_syn where ascii(substr({_KEY}, 7, 1)) % 3 <> 0 and not starts_with(Protein, 'XXX_')),
+_MAP = f""", known as (select distinct {_KEY} as k, Protein as mapped from fx_syn where not starts_with(Protein, 'XXX_')),
 parents as (select Protein as parent, max({_KEY}) as pp from fx_psm_raw where not starts_with(Protein, 'XXX_') group by Protein),
 direct as (select b.*, k.mapped from best b left join known k on {_KEY.replace("Peptide", "b.Peptide")} = k.k),
 lookup as (select distinct parent, mapped from parents join known on pp = k),
@@ -183,9 +202,9 @@ _OUT = "select Run, ScanNum, Peptide, Protein as OriginalProtein, coalesce(mappe
 _FALLBACK = f"{_OUT.format(chr(39) + 'direct' + chr(39), 'direct where mapped is not null')} union all {_OUT.format('case when mapped is null then ' + chr(39) + 'none' + chr(39) + ' else ' + chr(39) + 'fallback' + chr(39) + ' end', 'rest')}"
 
 
-def _filter_sql(where: str) -> str:
+def _filter_sql(where: str, best: str = _BEST) -> str:
     core = "regexp_replace(case when regexp_matches(upper(trim(Peptide)), '^[A-Z\\-]\\.(.+)\\.[A-Z\\-]$') then regexp_extract(upper(trim(Peptide)), '^[A-Z\\-]\\.(.+)\\.[A-Z\\-]$', 1) else upper(trim(Peptide)) end, '[^A-Z]', '', 'g')"
-    text = _BEST + ", " + _FDR.format(source="best") + f", final as (select *, -log10(case when SpecEValue = 0 then 1 else SpecEValue end) as MSMSScore from scored) select distinct Run, ScanNum, {core} as Peptide, Peptide as PeptideFlanked, Protein, round(FDR, 9) as FDR, ParentIonIntensity from final where {where} and not contains(lower(Protein), 'contaminant') and not IsDecoy and ParentIonIntensity >= 5000"
+    text = best + ", " + _FDR.format(source="best") + f", final as (select *, -log10(case when SpecEValue = 0 then 1 else SpecEValue end) as MSMSScore from scored) select distinct Run, ScanNum, {core} as Peptide, Peptide as PeptideFlanked, Protein, round(FDR, 9) as FDR, ParentIonIntensity from final where {where} and not contains(lower(Protein), 'contaminant') and not IsDecoy and ParentIonIntensity >= 5000"
     return oracle("fx_psm_raw", then=text)
 
 
@@ -209,9 +228,9 @@ QUERIES = {
     "bin_assign": bin_assign, "pair_bins": pair_bins, "bin_summary": bin_summary, "core_peptide_forms": core_peptide_forms, "decoy_rules": decoy_rules,
     "syn_merge": syn_merge, "map_expand": map_expand, "map_expand_fallback": map_expand_fallback, "expansion_audit": expansion_audit,
     "filter_fdr": _filtered(metric="FDR", threshold=0.2), "filter_score": _filtered(metric="MSMSScore", threshold=5.0),
-    "filter_stringent": _filtered(metric="FDR", threshold=0.3, metric2="QValue", threshold2=0.03), "filter_two_stage": _filtered(metric="MSMSScore", threshold=5.0, metric2="FDR", threshold2=0.2), "filter_stats": filter_stats,
+    "filter_strict": filter_strict, "filter_stringent": _filtered(metric="FDR", threshold=0.3, metric2="QValue", threshold2=0.03), "filter_two_stage": _filtered(metric="MSMSScore", threshold=5.0, metric2="FDR", threshold2=0.2), "filter_stats": filter_stats,
     "cull_semi": cull_semi, "cull_with_fallback": cull_with_fallback, "cull_categories": cull_categories,
-    "recovery_by_scan": recovery_by_scan, "recovery_summary": recovery_summary, "cull_file_summary": cull_file_summary, "reference_summary": reference_summary,
+    "recovery_by_scan": recovery_by_scan, "recovery_summary": recovery_summary, "cull_file_summary": cull_file_summary, "cull_file_report": cull_file_report, "digest_report": digest_report, "reference_summary": reference_summary,
 }
 SQL = {
     "digest_map": oracle("fx_protein", then=_DIGEST + " select Peptide, ProteinCount, Proteins from mapped"),
@@ -243,7 +262,7 @@ select a.Peptide, b.Peptide as Partner from p a join p b on b.Peptide = reverse(
     "map_expand_fallback": oracle("fx_psm_raw", "fx_syn", then=_BEST + _MAP + " " + _FALLBACK),
     "expansion_audit": oracle("fx_psm_raw", "fx_syn", then=_BEST + _MAP + f""", everything as ({_FALLBACK}), n as (select count(*) as n, max(Mapped) as how from everything group by Run, ScanNum, Peptide, OriginalProtein)
  select count(*) as rows_in, sum(n)::bigint as rows_out, count(*) filter (how = 'direct') as direct, count(*) filter (how = 'fallback') as fallback, count(*) filter (how = 'none') as unmapped, sum(n - 1)::bigint as extra_rows, round(avg(n), 9) as fan_out from n"""),
-    "filter_fdr": _filter_sql("FDR <= 0.2"), "filter_score": _filter_sql("MSMSScore >= 5"), "filter_stringent": _filter_sql("FDR <= 0.3 and QValue <= 0.03"), "filter_two_stage": _filter_sql("MSMSScore >= 5 and FDR <= 0.2"),
+    "filter_fdr": _filter_sql("FDR <= 0.2"), "filter_score": _filter_sql("MSMSScore >= 5"), "filter_stringent": _filter_sql("FDR <= 0.3 and QValue <= 0.03"), "filter_strict": _filter_sql("FDR <= 0.01 and MSMSScore >= 10 and QValue <= 0.05", _BEST.replace("best as (select *", "best as (select * replace (case when SpecEValue > 0 then SpecEValue else 0.00005::double end / 100000 as SpecEValue)")), "filter_two_stage": _filter_sql("MSMSScore >= 5 and FDR <= 0.2"),
     "filter_stats": oracle("fx_psm_raw", then=_BEST + ", " + _FDR.format(source="best") + """, kept as (select * from scored where FDR <= 0.2),
  p as (select bool_and(IsDecoy) as d from kept group by Peptide), q as (select bool_and(IsDecoy) as d from kept group by Protein)
  select (select count(*) from p) as peptides, (select round(100.0 * count(*) filter (d) / greatest(1, count(*)), 4) from p) as peptide_decoy_percent,
@@ -256,11 +275,25 @@ select a.Peptide, b.Peptide as Partner from p a join p b on b.Peptide = reverse(
  from scans s left join culled c on c.RunFolder = s.RunFolder and c.ScanNum = s.ScanNum left join (select distinct RunFolder, ScanNum from sic) i on i.RunFolder = s.RunFolder and i.ScanNum = s.ScanNum
  left join (select distinct ScanNum from keys) k on k.ScanNum = s.ScanNum"""),
     "recovery_by_scan": oracle("fx_partition_obs", "fx_base", then=_CULL + _RECOVERY + "select * from recovery"),
-    "recovery_summary": oracle("fx_partition_obs", "fx_base", then=_CULL + _RECOVERY + """, h as (select Recovered, count(*) as n from recovery group by Recovered)
+    "recovery_summary": oracle("fx_partition_obs", "fx_base", then=_CULL + _RECOVERY + """, h as (select layer, k, count(*) as n from (select unnest(['a', 's', 'y', 'o']) as layer, unnest([Recovered, RecoveredSIC, AddedSYN, ObservedSYN]) as k from recovery) group by 1, 2)
  select count(*) as total, count(*) filter (Recovered > 0) as recovered, count(*) filter (RecoveredSIC > 0) as recovered_sic, count(*) filter (AddedSYN > 0) as recovered_syn,
-  (select string_agg(concat(Recovered, ':', n), ';' order by Recovered) from h) as histogram, count(*) filter (Recovered = 0) as unrecovered, round(count(*) filter (Recovered > 0) / count(*), 9) as fraction from recovery"""),
+  count(*) filter (ObservedSYN > 0) as observed_syn, (select string_agg(concat(k, ':', n), ';' order by k) from h where layer = 'a') as histogram, (select string_agg(concat(k, ':', n), ';' order by k) from h where layer = 's') as recovered_sic_histogram,
+  (select string_agg(concat(k, ':', n), ';' order by k) from h where layer = 'y') as recovered_syn_histogram, (select string_agg(concat(k, ':', n), ';' order by k) from h where layer = 'o') as observed_syn_histogram, count(*) filter (Recovered = 0) as unrecovered, round(count(*) filter (Recovered > 0) / count(*), 9) as fraction from recovery"""),
     "cull_file_summary": oracle("fx_partition_obs", "fx_base", then=_CULL + """, x as (select RunFolder, count(*) as sic_rows, count(distinct ScanNum) as sic_scans from sic group by 1), y as (select RunFolder, count(*) as syn_rows, count(distinct ScanNum) as syn_scans from syn group by 1),
  z as (select RunFolder, count(*) as kept_rows, count(*) filter (SourceLayer = 'SIC') as kept_sic, count(*) filter (SourceLayer = 'SYN') as kept_syn, count(distinct CorePeptide) as kept_peptides, count(distinct Protein) as kept_proteins from culled group by 1)
  select * from x full join y using (RunFolder) full join z using (RunFolder)"""),
+    "cull_file_report": oracle("fx_partition_obs", "fx_base", then=_CULL + """, refs as (select distinct ScanNum from keys), folders as (select concat('exp_group_', i) as RunFolder from range(1, 11) r(i)),
+ x as (select RunFolder, count(*) as InputRows, count(distinct ScanNum) filter (CorePeptide <> '') as GroupUniqueScans, count(distinct ScanNum) filter (CorePeptide <> '' and ScanNum not in (select ScanNum from refs)) as GroupScansNotInReference from sic group by 1),
+ y as (select RunFolder, count(*) as SICRowsKept, count(distinct ScanNum) as SICRecoveredScans from a group by 1), z as (select RunFolder, count(*) as SYNMatchingRowsAvailable, count(distinct ScanNum) as SYNMatchingScansAvailable from b0 group by 1),
+ o as (select RunFolder, count(*) as OutputRows, count(*) filter (SourceLayer = 'SYN') as SYNFallbackRowsAdded, count(distinct ScanNum) filter (SourceLayer = 'SYN') as SYNFallbackScans, count(distinct ScanNum) as RecoveredScans, count(*) filter (starts_with(Protein, 'XXX_')) as DecoyRows, count(*) filter (not starts_with(Protein, 'XXX_')) as TargetRows from culled group by 1),
+ q as (select RunFolder, count(distinct ScanNum) as AlternativeOnlyScans from (select RunFolder, ScanNum from sic semi join refs using (ScanNum)) anti join culled using (RunFolder, ScanNum) group by 1)
+ select RunFolder, coalesce(InputRows, 0) as InputRows, coalesce(SICRowsKept, 0) as SICRowsKept, coalesce(SYNFallbackRowsAdded, 0) as SYNFallbackRowsAdded, coalesce(OutputRows, 0) as OutputRows, coalesce(TargetRows, 0) as TargetRows, coalesce(DecoyRows, 0) as DecoyRows, coalesce(GroupUniqueScans, 0) as GroupUniqueScans, coalesce(SICRecoveredScans, 0) as SICRecoveredScans, coalesce(SYNFallbackScans, 0) as SYNFallbackScans,
+  coalesce(RecoveredScans, 0) as RecoveredScans, coalesce(AlternativeOnlyScans, 0) as AlternativeOnlyScans, coalesce(GroupScansNotInReference, 0) as GroupScansNotInReference, coalesce(SYNMatchingRowsAvailable, 0) as SYNMatchingRowsAvailable, coalesce(SYNMatchingScansAvailable, 0) as SYNMatchingScansAvailable, round(DecoyRows / OutputRows, 9) as RowFDR
+ from folders left join x using (RunFolder) left join y using (RunFolder) left join z using (RunFolder) left join o using (RunFolder) left join q using (RunFolder)"""),
+    "digest_report": oracle("fx_protein", then=_DIGEST + """, long as (select Peptide, count(*) as n from cut where length(Peptide) between 6 and 50 group by 1), c as (select *, not regexp_matches(Peptide, '[^ACDEFGHIKLMNPQRSTVWY]') as clean from long), r as (select x.*, y.Peptide is not null as met from c x left join (select Peptide from c where clean) y on y.Peptide = reverse(x.Peptide))
+ select (select count(*) from fx_protein) as proteins_read, (select count(*) from fx_protein where regexp_matches(upper(seq), '[^ACDEFGHIKLMNPQRSTVWY]')) as proteins_with_noncanonical_residues, coalesce(sum(n), 0)::bigint as peptides_generated_pre_dedup, count(*) filter (clean) as unique_canonical_peptides_output_pre_tda,
+  coalesce(sum(n) filter (not clean), 0)::bigint as noncanonical_peptides_removed_total, count(*) filter (not clean) as noncanonical_peptides_removed_unique, count(*) filter (clean and met and Peptide <= reverse(Peptide)) as tda_overlap_pairs, count(*) filter (clean and met) as tda_overlap_removed_unique,
+  count(*) filter (clean and met and Peptide = reverse(Peptide)) as tda_overlap_palindromes, round(count(*) filter (clean and met) / count(*) filter (clean), 10) as tda_overlap_removed_fraction, round(100 * count(*) filter (clean and met) / count(*) filter (clean), 10) as tda_overlap_removed_percent, 1 as tda_overlap_removal_enabled,
+  count(*) filter (clean and not met) as unique_canonical_peptides_output_post_tda from r"""),
     "reference_summary": oracle("fx_base", then=f"select ScanNum, {_C} as CorePeptide, string_agg(distinct Peptide, ';' order by Peptide) as Peptides, string_agg(distinct Protein, ';' order by Protein) as Proteins, bool_or(starts_with(Protein, 'XXX_')) as AnyDecoy from fx_base group by 1, 2"),
 }
