@@ -136,6 +136,14 @@ def overall_summary(rows: DataFrame) -> DataFrame:
     return attach(out, percentiles_of(rows, ["Dataset"], quantiles), ["Dataset"])
 
 
+def delta_histogram(rows: DataFrame, buckets: int = 40) -> DataFrame:
+    """(Dataset, Bucket, Low, High, N): the data of the delta's histogram over [-1, 1]; the last bucket includes 1."""
+    width = 2 / buckets
+    bucket = F.least(F.floor((F.col("DeltaFDR") + 1) / width), F.lit(buckets - 1)).cast("int")
+    counted = rows.groupBy("Dataset", bucket.alias("Bucket")).agg(F.count(F.lit(1)).alias("N"))
+    return counted.select("Dataset", "Bucket", (F.col("Bucket") * width - 1).alias("Low"), ((F.col("Bucket") + 1) * width - 1).alias("High"), "N")
+
+
 def interval_summary(rows: DataFrame, edges: Sequence[float] = tuple(EDGES)) -> DataFrame:
     """Per dataset and interval of the base FDR, empty ones too: the delta's mean, quartiles and signs."""
     spark, d = rows.sparkSession, F.col("DeltaFDR")

@@ -18,6 +18,7 @@ from spectraloom.operators import ordered
 from spectraloom.operators.ordered import running
 from spectraloom.operators.collate import capped_list
 from spectraloom.operators.quantile import attach, percentiles_of, ranked_values
+from spectraloom.session import materialize
 
 #: (low, high, bins) of the segments of the classical FDR (fixed values).
 SEGMENTS = ((0.0, 0.001, 5), (0.001, 0.01, 10), (0.01, 0.05, 20), (0.05, 0.1, 10), (0.1, 0.2, 10), (0.2, 0.5, 15), (0.5, 1.0, 20))
@@ -180,7 +181,8 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def monotone_anchors(points: DataFrame, method: str = "isotonic") -> DataFrame:
     """Adds raw_corrected and corrected: the anchor plus its delta within [0, 1], and that made nondecreasing per condition.
 
-    A condition has some hundreds of anchors, whatever the number of its rows.
+    One task fits the anchors of one condition: a tenth of its distinct FDR
+    values with the usual stride, whatever the number of its rows.
     """
     raw = points.withColumn("raw_corrected", clip01(F.col("fdr_anchor") + F.col("delta_anchor")))
     if method == "none":
@@ -203,24 +205,32 @@ def reversals(curve: DataFrame) -> DataFrame:
 
 #: Cells that the domain [0, 1] is cut into for finding the anchors around a value.
 CELLS = 1024
+#: Stretches that a part of a cell holds, about; a cell with more is cut into that many parts.
+CELL_STRETCHES = 8
 
 
 def apply_curve(rows: DataFrame, curve: DataFrame, value: str, out: str = "CorrectedFDR") -> DataFrame:
     """Adds ``out``: the linear blend of the anchors around ``value``; null where the condition has no curve or the value none.
 
-    A stretch between two anchors is listed under every cell it touches, so
-    that a row finds its one by an equi-join on condition and cell, and no
-    window has to order the rows.
+    A stretch between two anchors is listed under every cell it touches, and
+    in a cell of many stretches under every part of it, so that a row finds
+    its one by an equi-join on condition, cell and part. No window has to
+    order the rows, and the work does not grow where anchors are dense.
     """
     order = Window.partitionBy("grp").orderBy("fdr_anchor")
-    stretch = curve.select("grp", F.col("fdr_anchor").alias("x"), F.col("corrected").alias("y"), F.lead("fdr_anchor").over(order).alias("x2"), F.lead("corrected").over(order).alias("y2")).filter("x2 is not null")
+    stretch = curve.select(F.col("grp").alias("__grp"), F.col("fdr_anchor").alias("x"), F.col("corrected").alias("y"), F.lead("fdr_anchor").over(order).alias("x2"), F.lead("corrected").over(order).alias("y2")).filter("x2 is not null")
     cell = lambda v: F.least(F.floor(v * CELLS), F.lit(CELLS - 1)).cast("int")
-    listed = stretch.withColumn("cell", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x2"))))).withColumnRenamed("grp", "__grp")
-    keyed = rows.withColumn("__cell", cell(F.col(value)))
+    part = lambda v, c, n: F.greatest(F.lit(0), F.least(F.floor((v * CELLS - c) * n), n - 1)).cast("int")
+    listed = materialize(stretch.withColumn("cell", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x2"))))), "stretches")
+    # At most CELLS rows per condition.
+    parts = listed.groupBy("__grp", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_STRETCHES).cast("int").alias("parts"))
+    cut = attach(listed, parts, ["__grp", "cell"]).withColumn("part", F.explode(F.sequence(part(F.col("x"), F.col("cell"), F.col("parts")), part(F.col("x2"), F.col("cell"), F.col("parts"))))).drop("parts")
     v = F.col(value)
-    inside = F.col("grp").eqNullSafe(F.col("__grp")) & (F.col("__cell") == F.col("cell")) & (v >= F.col("x")) & ((v < F.col("x2")) | (F.col("x2") == 1.0) & (v == 1.0))
+    known = parts.select(F.col("__grp").alias("__g"), F.col("cell").alias("__c"), "parts")
+    keyed = rows.withColumn("__cell", cell(v)).join(known, F.col("grp").eqNullSafe(F.col("__g")) & (F.col("__cell") == F.col("__c")), "left").withColumn("__part", part(v, F.col("__cell"), F.col("parts"))).drop("__g", "__c", "parts")
+    inside = F.col("grp").eqNullSafe(F.col("__grp")) & (F.col("__cell") == F.col("cell")) & (F.col("__part") == F.col("part")) & (v >= F.col("x")) & ((v < F.col("x2")) | (F.col("x2") == 1.0) & (v == 1.0))
     blend = F.col("y") + (F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x")) * (v - F.col("x"))
-    return keyed.join(listed, inside, "left").withColumn(out, clip01(blend)).drop("__grp", "__cell", "cell", "x", "y", "x2", "y2")
+    return keyed.join(cut, inside, "left").withColumn(out, clip01(blend)).drop("__grp", "__cell", "__part", "cell", "part", "x", "y", "x2", "y2")
 
 
 def error_statistics(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -237,11 +247,11 @@ def in_windows(predicted: DataFrame, windows: Sequence[tuple] = WINDOWS) -> Data
     return predicted.withColumn("window_index", F.explode(holding))
 
 
-def cutoff_behavior(predicted: DataFrame, cutoffs: Sequence[float] = CUTOFFS) -> DataFrame:
-    """Per condition and cutoff: how the predicted pass agrees with the observed one, and gains and losses against the classical."""
+def cutoff_behavior(predicted: DataFrame, cutoffs: Sequence[float] = CUTOFFS, keys: Sequence[str] = ("grp",)) -> DataFrame:
+    """Per key (the condition) and cutoff: how the predicted pass agrees with the observed one, and gains and losses against the classical."""
     long = predicted.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cutoffs])))
     c, o, p = (F.col(x) <= F.col("cutoff") for x in ("ClassicFDR", "PartitionedFDR", "PredictedFDR"))
-    out = long.groupBy("grp", "cutoff").agg(
+    out = long.groupBy(*keys, "cutoff").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c).alias("classic_pass"), F.count_if(o).alias("observed_pass"), F.count_if(p).alias("predicted_pass"),
         F.count_if(p & o).alias("tp"), F.count_if(~p & ~o).alias("tn"), F.count_if(p & ~o).alias("fp"), F.count_if(~p & o).alias("fn"),
         F.count_if(o & ~c).alias("observed_gain"), F.count_if(~o & c).alias("observed_loss"), F.count_if(p & ~c).alias("predicted_gain"), F.count_if(~p & c).alias("predicted_loss"),

@@ -75,6 +75,10 @@ def fdr_overall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.overall_summary(_shared(spark, sf_dir)))
 
 
+def delta_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.delta_histogram(_shared(spark, sf_dir)))
+
+
 def fdr_interval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.interval_summary(_shared(spark, sf_dir)))
 
@@ -105,7 +109,7 @@ _SHARED = """rows as (select ConditionName as Dataset, BaseFDR, BinnedFDRMedian
 _q = lambda c, p: f"quantile_cont({c}, {p})"
 QUERIES = {
     "partition_observations": partition_observations, "partition_fdr_summary": partition_fdr_summary, "partition_conflicts": partition_conflicts, "core_summary": core_summary, "core_representatives": core_representatives, "compare_status": compare_status,
-    "threshold_report": threshold_report, "delta_interval_stats": delta_interval_stats, "fdr_overall_summary": fdr_overall_summary, "fdr_interval_summary": fdr_interval_summary, "fdr_threshold_summary": fdr_threshold_summary,
+    "threshold_report": threshold_report, "delta_interval_stats": delta_interval_stats, "fdr_overall_summary": fdr_overall_summary, "delta_histogram": delta_histogram, "fdr_interval_summary": fdr_interval_summary, "fdr_threshold_summary": fdr_threshold_summary,
 }
 SQL = {
     "partition_observations": oracle("fx_partition_obs", then=_OBS + "select RunFolder, ScanNum, CorePeptide, Peptide, Protein, PartitionFDR, PartitionExactPeptideForms, PartitionExactPeptideFormCount, PartitionProteinMappingCount from obs"),
@@ -136,6 +140,7 @@ from x group by all""",
     "fdr_overall_summary": f"with {_SHARED} select Dataset, count(*) as N, {_R('avg(BaseFDR)', 'BaseFDRMean')}, {_R('median(BaseFDR)', 'BaseFDRMedian')}, {_R('avg(BinnedFDR)', 'BinnedFDRMean')}, {_R('median(BinnedFDR)', 'BinnedFDRMedian')}, {_R('avg(DeltaFDR)', 'DeltaFDRMean')}, {_R('median(DeltaFDR)', 'DeltaFDRMedian')}, "
     + ", ".join(_R(_q("DeltaFDR", p), f"DeltaFDRQ{p[2:]}") for p in ("0.05", "0.25", "0.75", "0.95"))
     + f", count(*) filter (DeltaFDR < 0) as ImprovedCount, count(*) filter (abs(DeltaFDR) <= 1e-15) as UnchangedCount, count(*) filter (DeltaFDR > 0) as WorsenedCount, {_R('avg((DeltaFDR < 0)::int)', 'ImprovedFraction')}, {_R('avg((DeltaFDR > 0)::int)', 'WorsenedFraction')}, count(distinct UnmodifiedPeptide) as UniquePeptides from rows group by Dataset",
+    "delta_histogram": f"with {_SHARED}, b as (select Dataset, least(floor((DeltaFDR + 1) / 0.05::double), 39)::integer as Bucket, count(*) as N from rows group by 1, 2) select Dataset, Bucket, {_R('Bucket * 0.05::double - 1', 'Low')}, {_R('(Bucket + 1) * 0.05::double - 1', 'High')}, N from b",
     "fdr_interval_summary": f"with {_SHARED}, labelled as (select *, {_case('BaseFDR')} as BaseFDRInterval from rows), intervals as (select * from (values "
     + ", ".join(f"('{interval_name(compare.EDGES, k)}', {a}::double, {b}::double, {(a + b) / 2}::double)" for k, (a, b) in enumerate(zip(compare.EDGES, compare.EDGES[1:])))
     + f") v(BaseFDRInterval, l, r, m)), datasets as (select distinct Dataset from rows) select d.Dataset, i.BaseFDRInterval, {_R('any_value(l)', 'IntervalLeft')}, {_R('any_value(r)', 'IntervalRight')}, {_R('any_value(m)', 'IntervalMidpoint')}, count(DeltaFDR) as N, {_R('avg(DeltaFDR)', 'DeltaFDRMean')}, {_R('median(DeltaFDR)', 'DeltaFDRMedian')}, {_R(_q('DeltaFDR', 0.25), 'DeltaFDRQ25')}, {_R(_q('DeltaFDR', 0.75), 'DeltaFDRQ75')}, {_R('avg((DeltaFDR < 0)::int)', 'ImprovedFraction')}, {_R('avg((DeltaFDR > 0)::int)', 'WorsenedFraction')} from datasets d cross join intervals i left join labelled x on x.Dataset is not distinct from d.Dataset and x.BaseFDRInterval = i.BaseFDRInterval group by 1, 2",

@@ -183,6 +183,11 @@ def qc_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.mass_collisions(_residues(spark, sf_dir), _decoys(spark, sf_dir))
 
 
+def protein_count_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protein fields reported at each charge: the first hundred by name, and how many more."""
+    return collate.capped_list(table(spark, sf_dir, "psm_syn"), ["Charge"], "Protein", "Proteins")
+
+
 def removal_gain_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "fx_removal")
     return collate.set_changes(rows.withColumn("peptide_id", F.col("peptide_id").cast("string")), "peptide_id", "in_baseline", "in_variant").unionByName(collate.set_changes(rows, "protein_id", "in_baseline", "in_variant"))
@@ -283,7 +288,7 @@ select step::bigint as step, Peptide, degree from walk where step > 0"""
 QUERIES = {
     "crosstab_sum": _crosstab("sum"), "crosstab_max": _crosstab("max"), "dominant_core": dominant_core, "uniqueness_flags": uniqueness_flags, "header_annotation": header_annotation,
     "coverage": coverage, "coverage_sample_min": _enough("per_sample"), "coverage_global_min": _enough("global"), "digest_annotated": _flags(False), "unique_to_cluster": _flags(True),
-    "protein_rollup_annotated": _annotated_rollup("Protein", "sum"), "protein_rollup_unique_only": _annotated_rollup("Protein", "median", "unique_only"), "cluster_rollup_mean": _annotated_rollup("Cluster", "mean"),
+    "protein_rollup_annotated": _annotated_rollup("Protein", "sum"), "protein_rollup_unique_only": _annotated_rollup("Protein", "median", "unique_only"), "known_requires_unique": _annotated_rollup("Protein", "sum", "requires_unique"), "protein_count_lists": protein_count_lists, "cluster_rollup_mean": _annotated_rollup("Cluster", "mean"),
     "rollup_covered": _annotated_rollup("Protein", "sum", covered=True), "cluster_rollup_covered": _annotated_rollup("Cluster", "sum", covered=True), "coverage_matrix": coverage_matrix, "coverage_heatmap": coverage_heatmap,
     "protein_rollup_sum": _rollup("Protein", "sum"), "protein_rollup_mean": _rollup("Protein", "mean"), "protein_rollup_median": _rollup("Protein", "median"), "protein_rollup_requires_unique": _rollup("Protein", "sum", "requires_unique"),
     "cluster_rollup_sum": _rollup("Cluster", "sum"), "cluster_rollup_median": _rollup("Cluster", "median"), "rrollup": rrollup, "rrollup_mean": rrollup_mean, "rrollup_nulls": rrollup_nulls, "rrollup_grubbs": rrollup_grubbs,
@@ -308,7 +313,9 @@ SQL = {
     "coverage_global_min": oracle("fx_protein", then=_DIGEST + _COVER + f" select sample, Protein, num_pep, {_R('Coverage', 'Coverage')} from covered where Protein in (select Protein from sampled group by 1 having count(distinct PeptideFlanked) >= 4)"),
     "digest_annotated": oracle("fx_protein", then=_DIGEST + _KNOWN + ' select PeptideFlanked, Protein, Cluster, Gene, Function, "Unique", Shared, UniqueToCluster, S0, S1, S2, S3 from ann'),
     "unique_to_cluster": oracle("fx_protein", then=_DIGEST + _KNOWN + ' select PeptideFlanked, Protein, Cluster, Gene, Function, "Unique", Shared, UniqueToCluster, S0, S1, S2, S3 from ann where UniqueToCluster'),
-    "protein_rollup_annotated": _known_roll("Protein", "sum"), "protein_rollup_unique_only": _known_roll("Protein", "median", 'and "Unique"'), "cluster_rollup_mean": _known_roll("Cluster", "avg"),
+    "protein_rollup_annotated": _known_roll("Protein", "sum"), "protein_rollup_unique_only": _known_roll("Protein", "median", 'and "Unique"'), "known_requires_unique": _known_roll("Protein", "sum", 'and Protein in (select Protein from ann where "Unique")'),
+    "protein_count_lists": """with v as (select distinct Charge, Protein from psm_syn where Protein <> ''), r as (select *, row_number() over (partition by Charge order by Protein) as at_, count(*) over (partition by Charge) as n from v)
+ select Charge, concat(string_agg(Protein, ';' order by Protein) filter (at_ <= 100), case when any_value(n) > 100 then concat(';...(+', any_value(n) - 100, ' more)') else '' end) as Proteins from r group by Charge""", "cluster_rollup_mean": _known_roll("Cluster", "avg"),
     "rollup_covered": _known_roll("Protein", "sum", "and Protein in (select Protein from enough)", _ENOUGH), "cluster_rollup_covered": _known_roll("Cluster", "sum", "and Cluster in (select Cluster from ann where Protein in (select Protein from enough))", _ENOUGH),
     "rrollup_mean": oracle("fx_crosstab_long", then=_rr() + " select Protein, " + ", ".join(_R(f"avg({s} * f)", s, 4) for s in SAMPLES) + f", {_FACTS} from fac group by Protein"),
     "rrollup_nulls": oracle("fx_crosstab_long", then=_rr("nullif({0}, 0)") + " select Protein, " + ", ".join(_R(f"median({s} * f)", s, 4) for s in SAMPLES) + f", {_FACTS} from fac group by Protein"),

@@ -65,16 +65,22 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return members.select("seq_id", F.lpad(F.col("number").cast("string"), 4, "0").alias("cluster"))
 
 
-def fasta_text(records: DataFrame, header: str, seq: str, width: int = 80) -> DataFrame:
-    """(value): records as text, sequences wrapped."""
+def fasta_text(records: DataFrame, header: str, seq: str, width: int = 80, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keep, value): records as text, sequences wrapped."""
     wrapped = F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
-    return records.select(F.concat(F.lit(">"), header, F.lit("\n"), wrapped).alias("value"))
+    return records.select(*keep, F.concat(F.lit(">"), header, F.lit("\n"), wrapped).alias("value"))
 
 
 def write_fasta(records: DataFrame, path: str, header: str = "header", seq: str = "seq", mode: str = "errorifexists") -> None:
     fasta_text(records, header, seq).write.mode(mode).text(path)
 
 
+def write_fasta_bins(records: DataFrame, path: str, by: list[str], header: str = "header", seq: str = "seq", mode: str = "errorifexists") -> None:
+    """One folder of FASTA files per bin."""
+    wrapped = fasta_text(records, header, seq, keep=by)
+    wrapped.repartition(*by).write.mode(mode).partitionBy(*by).text(path)
+
+
 def numbered_headers(peptides: DataFrame, prefix: str) -> DataFrame:
     """(header, seq) with headers prefix1, prefix2, ... in order of the peptides."""
     from spectraloom.operators.ordered import running

@@ -124,6 +124,13 @@ def write_tsv(df: DataFrame, path: str, one_file: bool = False, mode: str = "err
     (flat.coalesce(1) if one_file else flat).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
+def write_manifest(spark: SparkSession, path: str, outputs: Mapping[str, str], mode: str = "errorifexists") -> None:
+    """(Output, Path): what a run wrote and where, one line each, and as readable text beside it."""
+    rows = spark.createDataFrame(list(outputs.items()) or [("", "")], "Output string, Path string").filter("Output <> ''")
+    write_tsv(rows, path, one_file=True, mode=mode)
+    rows.select(F.concat("Output", F.lit(": "), "Path").alias("value")).coalesce(1).write.mode(mode).text(f"{path}_guide")
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "errorifexists") -> None:
     """One folder per bin, so that a reader of one bin reads that one only."""
     df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
@@ -131,14 +138,24 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "
 
 def write_formula(curve: DataFrame, path: str, condition: str, version: str = "1", mode: str = "errorifexists") -> None:
     """A condition's curve as one JSON document of parallel arrays."""
+    documents = _formulas(curve.withColumn("grp", F.lit(condition)), version)
+    documents.select("value").coalesce(1).write.mode(mode).text(path)
+
+
+def write_formulas(curve: DataFrame, path: str, version: str = "1", mode: str = "errorifexists") -> None:
+    """The curves of all conditions (grp), each a document in its own folder ``condition=name``."""
+    _formulas(curve, version).repartition("condition").write.mode(mode).partitionBy("condition").text(path)
+
+
+def _formulas(curve: DataFrame, version: str) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("fdr_anchor", "raw_corrected", "corrected", "role")))
-    packed = curve.agg(order.alias("a"))
+    packed = curve.groupBy(F.col("grp").alias("condition")).agg(order.alias("a"))
     each = lambda name, value: F.transform("a", value).alias(name)
     document = F.struct(
-        F.lit(condition).alias("condition_name"), F.lit(version).alias("formula_version"), F.lit("isotonic").alias("monotonic_method"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_utc"),
+        F.col("condition").alias("condition_name"), F.lit(version).alias("formula_version"), F.lit("isotonic").alias("monotonic_method"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_utc"),
         each("fdr_anchor", lambda r: r["fdr_anchor"]), each("corrected_fdr_anchor", lambda r: r["corrected"]), each("raw_corrected_fdr_anchor", lambda r: r["raw_corrected"]), each("delta_anchor", lambda r: r["corrected"] - r["fdr_anchor"]), each("anchor_role", lambda r: r["role"]),
     )
-    packed.select(F.to_json(document).alias("value")).coalesce(1).write.mode(mode).text(path)
+    return packed.select("condition", F.to_json(document).alias("value"))
 
 
 def read_formula(spark: SparkSession, path: str) -> DataFrame:
