@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import core_peptide, joined, unmodified_peptide
@@ -18,13 +18,11 @@ def with_cores(rows: DataFrame) -> DataFrame:
 
 def observations(rows: DataFrame) -> DataFrame:
     """One row per (RunFolder, ScanNum, CorePeptide): the best by SpecEValue, FDR, peptide and protein, with its distinct forms and proteins."""
-    order = ("SpecEValue", "PartitionFDR", "Peptide", "Protein", "MSGFScore")
-    first = [f for c in order for f in (F.col(c).isNull().alias(f"__{c}"), F.col(c))]
-    rest = [c for c in rows.columns if c not in (*OBSERVATION, *order)]
-    best = F.min(F.struct(*first, *rest)).alias("__best")
-    grouped = rows.groupBy(*OBSERVATION).agg(best, F.collect_set("Peptide").alias("__forms"), F.size(F.collect_set("Protein")).alias("PartitionProteinMappingCount"))
-    columns = [F.col(c) if c in OBSERVATION else F.col(f"__best.{c}") for c in rows.columns]
-    return grouped.select(*columns, joined(F.col("__forms")).alias("PartitionExactPeptideForms"), F.size("__forms").alias("PartitionExactPeptideFormCount"), "PartitionProteinMappingCount")
+    # Most observations are one row: a window sorts them once, where an aggregate would sort on both sides of the shuffle.
+    best = Window.partitionBy(*OBSERVATION).orderBy(*[F.asc_nulls_last(c) for c in ("SpecEValue", "PartitionFDR", "Peptide", "Protein", "MSGFScore")])
+    group = Window.partitionBy(*OBSERVATION)
+    marked = rows.withColumns({"__rank": F.row_number().over(best), "__forms": F.collect_set("Peptide").over(group), "__proteins": F.size(F.collect_set("Protein").over(group))})
+    return marked.filter("__rank = 1").withColumns({"PartitionExactPeptideForms": joined(F.col("__forms")), "PartitionExactPeptideFormCount": F.size("__forms"), "PartitionProteinMappingCount": F.col("__proteins")}).drop("__rank", "__forms", "__proteins")
 
 
 def conflicts(rows: DataFrame) -> DataFrame:
@@ -48,7 +46,7 @@ def fdr_summary(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFram
     """Statistics of the partition FDR per key, and ``more``. A key has one row per partition, so the median's group is small."""
     fdr = "PartitionFDR"
     out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("RowsAcrossBins"), F.count_distinct("RunFolder").alias("PartitionBinsRepresented"),
+        F.count(F.lit(1)).alias("RowsAcrossBins"), F.size(F.collect_set("RunFolder")).cast("bigint").alias("PartitionBinsRepresented"),
         F.avg(fdr).alias("BinnedFDRMean"), F.median(fdr).alias("BinnedFDRMedian"), F.min(fdr).alias("BinnedFDRMin"), F.max(fdr).alias("BinnedFDRMax"),
         F.stddev_samp(fdr).alias("BinnedFDRStd"), F.count(fdr).alias("BinnedFDRCount"), joined(F.collect_set("RunFolder")).alias("BinnedRunFolders"),
         F.min("MSGFScore").alias("MSGFScoreMin"), F.max("MSGFScore").alias("MSGFScoreMax"), *more,

@@ -27,26 +27,19 @@ def supported(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.withColumn("CorePeptide", core_peptide("Peptide")).join(keys, ["ScanNum", "CorePeptide"], "left_semi")
 
 
-def one_per_scan(rows: DataFrame, partition: Sequence[str], ties: Sequence[str]) -> DataFrame:
-    order = [F.asc_nulls_last("CorePeptide")]
-    order += [F.desc_nulls_last(c) if high else F.asc_nulls_last(c) for c, high in CHOICE if c in rows.columns]
-    chosen = Window.partitionBy(*partition).orderBy(*order, *[F.asc_nulls_last(t) for t in ties])
-    return rows.withColumn("__rank", F.row_number().over(chosen)).filter("__rank = 1").drop("__rank")
-
-
 def cull(sic: DataFrame, syn: DataFrame, keys: DataFrame, partition: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Supported SIC rows; for scans without one, the best supported SYN row. ``SourceLayer`` tells which.
 
-    The result has the columns of ``sic`` and one row per partition and scan.
+    The result has the columns of ``sic`` and one row per partition and scan:
+    one order over both layers decides. SIC comes first, then the smaller core
+    peptide, then, among SYN rows, what CHOICE says, then the ties.
     """
-    scan = [*partition, "ScanNum"]
-    from_sic = supported(sic, keys)
-    from_syn = supported(syn, keys).join(from_sic.select(*scan).distinct(), scan, "left_anti")
-    fallback = one_per_scan(from_syn, scan, ties)
-    both = from_sic.withColumn("SourceLayer", F.lit("SIC")).unionByName(fallback.withColumn("SourceLayer", F.lit("SYN")), allowMissingColumns=True)
-    first = Window.partitionBy(*scan).orderBy("SourceLayer", F.asc_nulls_last("CorePeptide"), *[F.asc_nulls_last(t) for t in ties])
-    kept = both.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1")
-    return kept.select(*sic.columns, "CorePeptide", "SourceLayer")
+    layer = lambda df, name: df.withColumn("SourceLayer", F.lit(name))
+    both = supported(layer(sic, "SIC").unionByName(layer(syn, "SYN"), allowMissingColumns=True), keys)
+    of_syn = lambda c: F.when(F.col("SourceLayer") == "SYN", F.col(c))
+    choice = [F.desc_nulls_last(of_syn(c)) if high else F.asc_nulls_last(of_syn(c)) for c, high in CHOICE if c in syn.columns]
+    first = Window.partitionBy(*partition, "ScanNum").orderBy("SourceLayer", F.asc_nulls_last("CorePeptide"), *choice, *[F.asc_nulls_last(t) for t in ties])
+    return both.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(*sic.columns, "CorePeptide", "SourceLayer")
 
 
 def scan_categories(sic: DataFrame, syn: DataFrame, keys: DataFrame, culled: DataFrame, partition: Sequence[str]) -> DataFrame:

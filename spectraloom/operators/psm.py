@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import canonical_peptide, either, is_decoy, peptide_core
+from spectraloom.session import materialize
 
 DEFAULTS = {"FDR": 0.01, "QValue": 0.01, "MSMSScore": 10.0}
 #: The two-sided limits of the strict filter (fixed values).
@@ -23,7 +24,8 @@ def template_rows(fdr: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> D
 def append_syn(fdr: DataFrame, syn: DataFrame, syn_scan: str, keys: Sequence[str] = ("Run",), ties: Sequence[str] = ("Protein",)) -> DataFrame:
     """``fdr`` with a row for every further protein that ``syn`` has for one of its (scan, peptide); ``Appended`` marks those."""
     scan = [*keys, "ScanNum", "Peptide"]
-    clean = fdr.withColumns({"Peptide": F.trim("Peptide"), "Protein": F.trim("Protein")})
+    # Read three times below.
+    clean = materialize(fdr.withColumns({"Peptide": F.trim("Peptide"), "Protein": F.trim("Protein")}), "psm")
     triples = syn.select(*keys, F.col(syn_scan).alias("ScanNum"), F.trim("Peptide").alias("Peptide"), F.trim("Protein").alias("Protein")).distinct()
     fresh = triples.join(clean.select(*scan, "Protein").distinct(), [*scan, "Protein"], "left_anti")
     template = template_rows(clean, scan, ties).drop("Protein")
@@ -40,18 +42,14 @@ def expand_by_map(psm: DataFrame, edges: DataFrame, parents: DataFrame | None =
     """
     known = edges.select(F.col("Peptide").alias("__peptide"), F.col("Protein").alias("__mapped")).distinct()
     keyed = psm.withColumn("__key", canonical_peptide("Peptide"))
-    direct = keyed.join(known, F.col("__key") == F.col("__peptide"), "left").drop("__peptide")
-    found = direct.filter("__mapped is not null").withColumn("Mapped", F.lit("direct"))
-    missing = direct.filter("__mapped is null").drop("__mapped")
-    if parents is None:
-        rest = missing.withColumns({"__mapped": F.lit(None).cast("string"), "Mapped": F.lit("none")})
-    else:
-        lookup = parents.select(F.col("Protein").alias("__parent"), canonical_peptide("ParentPeptide").alias("__pp")).distinct().join(known, F.col("__pp") == F.col("__peptide")).select("__parent", "__mapped").distinct()
-        decoy = is_decoy("Protein")
-        rest = missing.join(lookup, (F.col("Protein") == F.col("__parent")) & ~decoy, "left").drop("__parent")
-        rest = rest.withColumn("Mapped", F.when(F.col("__mapped").isNotNull(), F.lit("fallback")).otherwise(F.lit("none")))
-    out = found.unionByName(rest)
-    return out.withColumn("OriginalProtein", F.col("Protein")).withColumn("Protein", F.coalesce("__mapped", "Protein")).drop("__key", "__mapped")
+    out = keyed.join(known, F.col("__key") == F.col("__peptide"), "left")
+    how, protein = F.when(F.col("__mapped").isNotNull(), F.lit("direct")), [F.col("__mapped")]
+    if parents is not None:
+        lookup = parents.select(F.col("Protein").alias("__parent"), canonical_peptide("ParentPeptide").alias("__pp")).distinct().join(known, F.col("__pp") == F.col("__peptide")).select("__parent", F.col("__mapped").alias("__fallback")).distinct()
+        out = out.join(lookup, F.col("__mapped").isNull() & (F.col("Protein") == F.col("__parent")) & ~is_decoy("Protein"), "left")
+        how, protein = how.when(F.col("__fallback").isNotNull(), F.lit("fallback")), [*protein, F.col("__fallback")]
+    named = out.withColumn("Mapped", how.otherwise(F.lit("none"))).withColumn("OriginalProtein", F.col("Protein")).withColumn("Protein", F.coalesce(*protein, "Protein"))
+    return named.drop("__key", "__peptide", "__mapped", "__parent", "__fallback")
 
 
 def expansion_audit(expanded: DataFrame, keys: Sequence[str]) -> DataFrame:
