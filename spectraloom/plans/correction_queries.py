@@ -31,6 +31,11 @@ def _predicted(spark, sf_dir):
     return C.apply_curve(train, _curve(train), "ClassicFDR", "PredictedFDR")
 
 
+def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monotone anchors of every condition."""
+    return _curve(_train(spark, sf_dir))
+
+
 def correction_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.fdr_levels(_train(spark, sf_dir)))
 

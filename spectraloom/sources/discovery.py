@@ -1,22 +1,34 @@
-"""Finding inputs: small manifests made on the driver, before any data is read."""
+"""Finding inputs, on any file system that Spark reads: small manifests made on the driver, before any data is read."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spectraloom.sources.names import match_stem, natural, run_parts
 
 
-def visible(folder: str, *patterns: str) -> list[Path]:
+class Entry(NamedTuple):
+    """One file or folder."""
+
+    name: str
+    path: str
+    is_folder: bool
+
+
+def visible(folder: str, *patterns: str) -> list[Entry]:
     """Files and folders that match any pattern, in natural order; hidden ones and ``._*`` doubles are left out."""
-    found = {path for pattern in patterns for path in Path(folder).glob(pattern) if not path.name.startswith(".")}
-    return sorted(found, key=lambda path: natural(str(path)))
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().toString(): s for pattern in patterns for s in files.globStatus(path(path(folder), pattern)) or []}
+    entries = [Entry(s.getPath().getName(), at, s.isDirectory()) for at, s in found.items() if not s.getPath().getName().startswith(".")]
+    return sorted(entries, key=lambda entry: natural(entry.path))
 
 
-def only_one(folder: str, *patterns: str) -> Path:
+def only_one(folder: str, *patterns: str) -> Entry:
     """The single match; none or several are an error."""
     found = visible(folder, *patterns)
     if len(found) != 1:
@@ -26,13 +38,13 @@ def only_one(folder: str, *patterns: str) -> Path:
 
 def numbered_runs(spark: SparkSession, root: str) -> DataFrame:
     """(name, condition, replicate, path) of folders such as Soil_3."""
-    parts = [(path.name, *run_parts(path.name), str(path)) for path in visible(root, "*") if path.is_dir() and run_parts(path.name)]
+    parts = [(entry.name, *run_parts(entry.name), entry.path) for entry in visible(root, "*") if entry.is_folder and run_parts(entry.name)]
     return spark.createDataFrame(parts, "name string, condition string, replicate int, path string")
 
 
-def size_series(root: str, suffix: str) -> list[tuple[str, Path]]:
+def size_series(root: str, suffix: str) -> list[tuple[str, str]]:
     """(size label, folder) of a database series; a baseline must be among them."""
-    found = [(path.name.removesuffix(suffix).rstrip("_"), path) for path in visible(root, f"*{suffix}") if path.is_dir()]
+    found = [(entry.name.removesuffix(suffix).rstrip("_"), entry.path) for entry in visible(root, f"*{suffix}") if entry.is_folder]
     if not any(label.lower() == "baseline" for label, _ in found):
         raise ValueError(f"{root} has no baseline")
     return found

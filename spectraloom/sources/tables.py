@@ -22,9 +22,11 @@ SIC_COLUMNS = ("ScanNum", "PrecursorMZ", "DelM_PPM", "Peptide", "Protein", "MSGF
 _TEXT = {"Peptide", "Protein"}
 
 
-def read_tsv(spark: SparkSession, path: str | Sequence[str], na_tokens: bool = True, infer: bool = False) -> DataFrame:
-    """A table with header. Columns are text unless ``infer``; with ``na_tokens`` the usual texts for null become null."""
+def read_tsv(spark: SparkSession, path: str | Sequence[str], na_tokens: bool = True, infer: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """A table with header. Columns are text unless ``infer``; with ``na_tokens`` the usual texts for null become null; of ``columns`` those that are there are read."""
     df = spark.read.option("sep", "\t").option("header", True).option("inferSchema", infer).option("quote", "").csv(path)
+    if columns is not None:
+        df = df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])
     return df.select(*[null_tokens(F.col(f"`{c}`")).alias(c) if na_tokens and t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
@@ -121,7 +123,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def write_tsv(df: DataFrame, path: str, one_file: bool = False, mode: str = "errorifexists") -> None:
     """Arrays come out as text joined by ``;``. ``one_file`` is for reports."""
     flat = df.select(*[F.array_join(c, ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
-    (flat.coalesce(1) if one_file else flat).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    (flat.coalesce(1) if one_file else flat).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_manifest(spark: SparkSession, path: str, outputs: Mapping[str, str], mode: str = "errorifexists") -> None:
@@ -172,3 +174,11 @@ def read_formula(spark: SparkSession, path: str) -> DataFrame:
     if broken:
         raise ValueError(f"{path} lacks {', '.join(broken)}")
     return spark.createDataFrame([(found[0].get("condition_name"), float(a), float(b)) for a, b in zip(x, y)], "grp string, fdr_anchor double, corrected double")
+
+
+def read_formulas(spark: SparkSession, path: str) -> DataFrame:
+    """(grp, fdr_anchor, corrected) of every formula that ``write_formulas`` wrote."""
+    document = "condition_name string, fdr_anchor array<double>, corrected_fdr_anchor array<double>"
+    packed = spark.read.text(path).select(F.from_json("value", document).alias("d")).select("d.*")
+    pairs = F.arrays_zip(F.col("fdr_anchor").alias("x"), F.col("corrected_fdr_anchor").alias("y"))
+    return packed.select(F.col("condition_name").alias("grp"), F.explode(pairs).alias("p")).select("grp", F.col("p.x").alias("fdr_anchor"), F.col("p.y").alias("corrected"))
