@@ -19,6 +19,10 @@ from spectraloom.session import fits, materialize
 SHINGLE, RUN = 5, 10
 #: Shingles of items, or ids of candidate pages (8 bytes each), that are sent to every executor at most.
 MAX_BROADCAST_SHINGLES = 1_000_000
+#: Bits of the filter that tasks hold against the corpus' shingles: 8 MB, whatever the number of items.
+FILTER_BITS = 26
+#: Where in a hash the three places of the filter begin.
+_SLICES = (0, 19, 38)
 #: Characters of text whose words a task holds at once, about.
 CHUNK = 2_000_000
 
@@ -62,8 +66,29 @@ def _hashes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[whole], position[whole].astype("int32"), mixed[whole].view("int64")
 
 
-def shingles(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, at, h): every shingle of every text with its place."""
+def shingle_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of hashes (h), as words of 64 bits: made on Spark, of constant size, so that at most its words come to the driver."""
+    mask = F.lit(2**FILTER_BITS - 1).cast("bigint")
+    places = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(mask) for s in _SLICES])
+    bits = wanted.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63).cast("bigint")).cast("int")).alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(max(1, 2**FILTER_BITS // 64), dtype="int64")
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return words
+
+
+def _may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the filter: all that are, and few others."""
+    out = np.ones(len(h), dtype=bool)
+    for s in _SLICES:
+        place = (h.view("uint64") >> np.uint64(s)) & np.uint64(2**FILTER_BITS - 1)
+        out &= (words[place >> np.uint64(6)].view("uint64") >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def shingles(df: DataFrame, ident: str, text: str, among: np.ndarray | None = None) -> DataFrame:
+    """(id, at, h): every shingle of every text with its place; of those that the filter ``among`` rules out none."""
+    shipped = None if among is None else df.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,6 +97,9 @@ def shingles(df: DataFrame, ident: str, text: str) -> DataFrame:
             for first, last in zip(cuts[:-1], cuts[1:]):
                 own = batch.iloc[first:last]
                 row, at, h = _hashes(own["text"])
+                if shipped is not None:
+                    kept = _may_hold(shipped.value, h)
+                    row, at, h = row[kept], at[kept], h[kept]
                 yield pd.DataFrame({"id": own["id"].to_numpy()[row], "at": at, "h": h})
 
     rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
@@ -114,25 +142,27 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     hashed = shingles(windows.select(F.col("w").alias("id"), F.array_join("window", " ").alias("text")), "id", "text")
     listed = materialize(hashed.select(F.col("id").alias("w"), F.col("at").alias("inside"), "h"), "leak-shingles")
 
-    wanted = listed.select("h").distinct()
-    # The corpus is filtered in place by up to MAX_BROADCAST_SHINGLES shingles; beyond that both sides shuffle.
-    wanted = F.broadcast(wanted) if fits(wanted, MAX_BROADCAST_SHINGLES) else wanted
-    seen = materialize(shingles(documents, doc_id, text).join(wanted, "h", "left_semi"), "leak-seen")
+    wanted = materialize(listed.select("h").distinct(), "leak-wanted")
+    # Tasks leave out what the filter rules out; what is left meets the shingles themselves, in place up to MAX_BROADCAST_SHINGLES.
+    few = fits(wanted, MAX_BROADCAST_SHINGLES)
+    exact = F.broadcast(wanted) if few else wanted.hint("merge")
+    seen = materialize(shingles(documents, doc_id, text, shingle_filter(wanted)).join(exact, "h", "left_semi"), "leak-seen")
     counts = seen.groupBy("h").agg(F.count_distinct("id").alias("pages"))
     # A window with a shingle that no document holds is in no document.
-    rarity = listed.join(counts, "h").groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pages", "h", "inside")).alias("prefix"))
+    rarity = listed.join(counts.hint("merge"), "h").groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pages", "h", "inside")).alias("prefix"))
     prefixes = rarity.filter(F.col("k") == RUN - SHINGLE + 1).select("w", "prefix.h", "prefix.inside")
-    hits = seen.join(prefixes, "h").withColumn("start", F.col("at") - F.col("inside")).filter("start >= 0").select("id", "w", "start").distinct()
+    # There are about as many windows as shingles of items.
+    hits = seen.join(prefixes if few else prefixes.hint("merge"), "h").withColumn("start", F.col("at") - F.col("inside")).filter("start >= 0").select("id", "w", "start").distinct()
     # Length bound: the window's last shingle must be there as well.
     last = listed.filter(F.col("inside") == RUN - SHINGLE).select("w", F.col("h").alias("last"))
     ends = seen.select("id", F.col("h").alias("last"), (F.col("at") - (RUN - SHINGLE)).alias("start"))
-    bounded = hits.join(last, "w").join(ends, ["id", "last", "start"], "left_semi").select("id", "w", "start")
+    bounded = hits.join(last if few else last.hint("merge"), "w").join(ends.hint("merge"), ["id", "last", "start"], "left_semi").select("id", "w", "start")
     named = owners.withColumn("w", F.xxhash64("window"))
-    candidates = materialize(bounded.join(named, "w").groupBy("id").agg(F.collect_set(F.struct("item", "start", "window")).alias("found")), "leak-candidates")
+    candidates = materialize(bounded.join(named if few else named.hint("merge"), "w").groupBy("id").agg(F.collect_set(F.struct("item", "start", "window")).alias("found")), "leak-candidates")
     texts = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).filter("text is not null")
     named_ids = candidates.select("id")
     if fits(named_ids, MAX_BROADCAST_SHINGLES):
         # Only the texts of candidates travel.
         texts = texts.join(F.broadcast(named_ids), "id", "left_semi")
-    proven = texts.join(candidates, "id").mapInPandas(_verify, "id bigint, item bigint").distinct()
+    proven = texts.join(candidates.hint("merge"), "id").mapInPandas(_verify, "id bigint, item bigint").distinct()
     return proven.select(F.col("id").alias(doc_id), F.col("item").alias(item_id))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from spectraloom.llm import leakage
@@ -25,8 +26,20 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 10])
-def test_against_brute_force(spark, monkeypatch, bound):
+def test_filter_loses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    hashes = np.r_[rng.integers(-(2**63), 2**63 - 1, 3000, dtype="int64"), [0, -1, 2**63 - 1, -(2**63)]]
+    frame = spark.createDataFrame([(int(h),) for h in hashes], "h long")
+    others = rng.integers(-(2**63), 2**63 - 1, 50_000, dtype="int64")
+    for bits, false in ((26, 0.001), (16, 0.05), (6, 1.0)):
+        monkeypatch.setattr(leakage, "FILTER_BITS", bits)
+        held = leakage.shingle_filter(frame)
+        assert leakage._may_hold(held, hashes).all() and leakage._may_hold(held, others).mean() <= false
+
+
+@pytest.mark.parametrize("bound,bits", [(1_000_000, 26), (10, 26), (10, 6)])
+def test_against_brute_force(spark, monkeypatch, bound, bits):
+    monkeypatch.setattr(leakage, "FILTER_BITS", bits)
     rng = random.Random(8)
     vocabulary = [f"w{n}" for n in range(12)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
