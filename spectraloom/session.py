@@ -43,14 +43,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts the lineage and survives the loss of any executor; unlike a cached
-    frame it needs no executor memory.
+    frame it needs no executor memory. What is written stays until
+    ``drop_stages``: results that are read later may need it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes all that ``materialize`` wrote in this application; call it when no result that rests on it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The test table ``name`` in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -177,6 +177,15 @@ def test_reports_of_empty_inputs(spark):
     assert off.tda_overlap_pairs == 0 and off.tda_overlap_removal_enabled == 0
 
 
+def test_stages_are_dropped(spark):
+    kept = session.materialize(spark.range(5))
+    assert kept.count() == 5 and "stages-" in kept.inputFiles()[0]
+    session.drop_stages(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+    assert session.materialize(spark.range(3)).count() == 3
+
+
 def test_scratch_folder_must_be_shared():
     class Context:
         master = "spark://host:7077"
