@@ -64,21 +64,30 @@ def rolling_windows(levels: DataFrame, window: int = 100, stride: int = 10, segm
     """
     seg = levels.withColumn("segment", segment_of(F.col("ClassicFDR"), segments)).filter("segment is not null")
     sizes = seg.groupBy("grp", "segment").agg(F.count(F.lit(1)).alias("levels"))
-    large = (sizes.agg(F.max("levels")).first()[0] or 0) > ordered.MAX_GROUP_ROWS
+    large = levels.count() > ordered.MAX_GROUP_ROWS and (sizes.agg(F.max("levels")).first()[0] or 0) > ordered.MAX_GROUP_ROWS
     placed = attach(running(seg, ["grp", "segment"], ["ClassicFDR"], {"__upto": F.lit(1)}, large), sizes, ["grp", "segment"]).withColumn("at", F.col("__upto") - 1)
     final = F.greatest(F.col("levels") - window, F.lit(0))
     low, high = F.greatest(F.ceil((F.col("at") - window + 1) / stride), F.lit(0)), F.least(F.floor(F.col("at") / stride), F.floor(final / stride))
     regular = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: k * stride)).otherwise(F.array().cast("array<bigint>"))
     starts = F.array_distinct(F.concat(regular, F.when(F.col("at") >= final, F.array(final.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))))
     member = placed.withColumn("start", F.explode(starts))
-    # A window holds at most ``window`` levels, so its quantiles need no special care.
-    d, q = F.col("median_delta"), F.percentile("median_delta", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.75, 0.9)]))
-    return member.groupBy("grp", "segment", "start").agg(
-        F.count(F.lit(1)).alias("n_train"), F.sum("rows").alias("n_source_rows"), F.min("ClassicFDR").alias("min_fdr"), F.max("ClassicFDR").alias("max_fdr"), F.median("ClassicFDR").alias("median_classic_fdr"), F.avg("ClassicFDR").alias("mean_classic_fdr"),
-        F.median("median_partitioned").alias("median_partitioned_fdr"), F.avg("mean_partitioned").alias("mean_partitioned_fdr"), F.median("median_delta").alias("median_delta"), F.avg("mean_delta").alias("mean_delta"), F.stddev_samp("median_delta").alias("sd_delta"),
-        q[0].alias("q10_delta"), q[1].alias("q25_delta"), q[2].alias("q75_delta"), q[3].alias("q90_delta"),
+    # A window holds at most ``window`` levels: their values in order answer all its quantiles.
+    values = lambda c: F.array_sort(F.collect_list(c))
+    d = F.col("median_delta")
+    held = member.groupBy("grp", "segment", "start").agg(
+        F.count(F.lit(1)).alias("n_train"), F.sum("rows").alias("n_source_rows"), F.min("ClassicFDR").alias("min_fdr"), F.max("ClassicFDR").alias("max_fdr"), F.avg("ClassicFDR").alias("mean_classic_fdr"),
+        F.avg("mean_partitioned").alias("mean_partitioned_fdr"), F.avg("mean_delta").alias("mean_delta"), F.stddev_samp("median_delta").alias("sd_delta"),
         F.avg((d < 0).cast("int")).alias("fraction_lower"), F.avg((d == 0).cast("int")).alias("fraction_equal"), F.avg((d > 0).cast("int")).alias("fraction_higher"),
-    ).withColumn("sem_delta", F.col("sd_delta") / F.sqrt("n_train"))
+        values("ClassicFDR").alias("__c"), values("median_partitioned").alias("__p"), values("median_delta").alias("__d"),
+    )
+
+    def at(array: str, p: float) -> Column:
+        place = (F.size(array) - 1) * F.lit(p)
+        low, high = F.get(array, F.floor(place).cast("int")), F.get(array, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    named = {"median_classic_fdr": at("__c", 0.5), "median_partitioned_fdr": at("__p", 0.5), "median_delta": at("__d", 0.5), **{f"q{int(100 * p)}_delta": at("__d", p) for p in (0.1, 0.25, 0.75, 0.9)}}
+    return held.withColumns({**named, "sem_delta": F.col("sd_delta") / F.sqrt("n_train")}).drop("__c", "__p", "__d")
 
 
 def quantile_bins(train: DataFrame, least: int, segments: Sequence[tuple] = SEGMENTS) -> DataFrame:

@@ -30,7 +30,8 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     # Read three times below: what leads to it must not run three times.
     counts = materialize(counts, "value-counts")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    large = largest_group(counts, keys) > ordered.MAX_GROUP_ROWS
+    # No group is larger than the table, whose rows its files tell.
+    large = counts.count() > ordered.MAX_GROUP_ROWS and largest_group(counts, keys) > ordered.MAX_GROUP_ROWS
     return attach(running(counts, keys, ["v"], {"upto": F.col("n")}, large), totals, keys)
 
 
