@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import clip01, hash_fraction, in_interval, is_close, number
 from spectraloom.operators import ordered
-from spectraloom.operators.ordered import running
+from spectraloom.operators.ordered import largest_group, running
 from spectraloom.operators.collate import capped_list
 from spectraloom.operators.quantile import attach, percentiles_of, ranked_values
-from spectraloom.session import materialize
+from spectraloom.session import fits, materialize
 
 #: (low, high, bins) of the segments of the classical FDR (fixed values).
 SEGMENTS = ((0.0, 0.001, 5), (0.001, 0.01, 10), (0.01, 0.05, 20), (0.05, 0.1, 10), (0.1, 0.2, 10), (0.2, 0.5, 15), (0.5, 1.0, 20))
@@ -176,33 +176,72 @@ def anchors(intervals: DataFrame, statistic: str = "median") -> DataFrame:
     return observed.unionByName(edge("first", 0.0, "first.fdr_anchor > 0")).unionByName(edge("last", 1.0, "last.fdr_anchor < 1"))
 
 
-def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted least-squares nondecreasing fit, by pooling neighbours that violate the order."""
+def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per value the number of its block: neighbours that violate the order are pooled until the weighted means of the blocks rise."""
     blocks: list[list[float]] = []
     for value, weight in zip(values, weights):
         blocks.append([value * weight, weight, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
             total, weight, size = blocks.pop()
             blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + weight, blocks[-1][2] + size]
-    return np.repeat([b[0] / b[1] for b in blocks], [int(b[2]) for b in blocks]) if blocks else np.zeros(0)
+    return np.repeat(np.arange(len(blocks)), [int(b[2]) for b in blocks]) if blocks else np.zeros(0, "int64")
+
+
+def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted least-squares nondecreasing fit."""
+    block = pooled(values, weights)
+    return (np.bincount(block, values * weights) / np.bincount(block, weights))[block] if len(block) else np.zeros(0)
 
 
-def monotone_anchors(points: DataFrame, method: str = "isotonic") -> DataFrame:
+#: Anchors of one condition that one task may fit.
+MAX_FIT = 1_000_000
+
+
+def monotone_anchors(points: DataFrame, method: str = "isotonic", max_fit: int = MAX_FIT) -> DataFrame:
     """Adds raw_corrected and corrected: the anchor plus its delta within [0, 1], and that made nondecreasing per condition.
 
-    One task fits the anchors of one condition: a tenth of its distinct FDR
-    values with the usual stride, whatever the number of its rows.
+    A task fits a condition of up to ``max_fit`` anchors. Where one has more,
+    the anchors are range-partitioned by condition and FDR, every slice is
+    pooled by itself, and its blocks, with their weights, take the place of the
+    anchors: what pooling joins within a slice stays joined in the whole fit,
+    so that the result is the same. This is repeated with other slices until
+    no block of a condition is below the one before it.
     """
     raw = points.withColumn("raw_corrected", clip01(F.col("fdr_anchor") + F.col("delta_anchor")))
     if method == "none":
         return raw.withColumn("corrected", F.col("raw_corrected"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema) + ", corrected double"
-
-    def fit(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("fdr_anchor")
-        return own.assign(corrected=np.clip(isotonic(own["raw_corrected"].to_numpy(), np.maximum(own["n_train"].to_numpy("float64"), 1.0)), 0, 1))
-
-    return raw.groupBy("grp").applyInPandas(fit, schema)
+    raw, weight = materialize(raw, "anchors"), F.greatest(F.col("n_train").cast("double"), F.lit(1.0))
+    if fits(raw, max_fit) or largest_group(raw, ["grp"]) <= max_fit:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema) + ", corrected double"
+
+        def fit(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("fdr_anchor")
+            return own.assign(corrected=np.clip(isotonic(own["raw_corrected"].to_numpy(), np.maximum(own["n_train"].to_numpy("float64"), 1.0)), 0, 1))
+
+        return raw.groupBy("grp").applyInPandas(fit, schema)
+    kind = raw.schema["grp"].dataType.simpleString()
+
+    def pool(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("low")
+        block = pooled(own["y"].to_numpy(), own["w"].to_numpy())
+        ends = own.assign(block=block, total=own["y"] * own["w"]).groupby("block").agg(low=("low", "min"), high=("high", "max"), total=("total", "sum"), w=("w", "sum"))
+        return ends.assign(grp=own["grp"].iloc[0], y=ends["total"] / ends["w"])[["grp", "low", "high", "y", "w"]]
+
+    blocks = raw.select("grp", F.col("fdr_anchor").alias("low"), F.col("fdr_anchor").alias("high"), F.col("raw_corrected").alias("y"), weight.alias("w"))
+    schema, turn, falls = f"grp {kind}, low double, high double, y double, w double", 0, True
+    order = Window.partitionBy("grp").orderBy("low")
+    while falls:
+        # One slice more every second time: no inner border of these slices is one of those.
+        parts = max(2, -(-blocks.count() * 2 // max_fit)) + turn % 2
+        sliced = materialize(blocks.repartitionByRange(parts, "grp", "low").withColumn("__slice", F.spark_partition_id()), "slices")
+        blocks = materialize(sliced.groupBy("grp", "__slice").applyInPandas(pool, schema), "blocks")
+        falls = not blocks.withColumn("__before", F.lag("y").over(order)).filter(F.col("__before") > F.col("y") * (1 + 1e-12)).isEmpty()
+        turn += 1
+    # Blocks follow each other without a gap: the last one that begins at or before an anchor holds it.
+    marks = blocks.select("grp", F.col("low").alias("fdr_anchor"), clip01(F.col("y")).alias("__y"))
+    fitted = attach(raw, marks, ["grp", "fdr_anchor"], "left")
+    latest = Window.partitionBy("grp").orderBy("fdr_anchor").rowsBetween(Window.unboundedPreceding, 0)
+    return fitted.withColumn("corrected", F.last("__y", True).over(latest)).drop("__y")
 
 
 def reversals(curve: DataFrame) -> DataFrame:

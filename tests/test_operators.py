@@ -121,6 +121,17 @@ def test_isotonic():
     assert np.allclose(fit, [0.02, 11 / 300, 11 / 300, 0.275, 0.275, 0.9]) and len(correction.isotonic(np.zeros(0), np.zeros(0))) == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.05, 2.0])
+def test_isotonic_in_slices(spark, noise):
+    random = np.random.default_rng(5)
+    rows = [(g, float(x), float(noise * d), int(n)) for g, size in (("a", 900), (None, 60), ("b", 1)) for x, d, n in zip(np.sort(random.choice(10_000, size, False)) / 10_000, random.normal(size=size), random.integers(0, 40, size))]
+    points = spark.createDataFrame(rows, "grp string, fdr_anchor double, delta_anchor double, n_train bigint")
+    key = lambda r: (r.grp or "", r.fdr_anchor)
+    whole, sliced = (sorted(correction.monotone_anchors(points, max_fit=m).collect(), key=key) for m in (1_000_000, 100))
+    assert [key(r) for r in whole] == [key(r) for r in sliced] and len(whole) == 961
+    assert np.allclose([r.corrected for r in whole], [r.corrected for r in sliced], atol=1e-9)
+
+
 def test_quantile_bins_against_numpy(spark):
     rng = np.random.default_rng(3)
     values = np.round(rng.beta(0.5, 2, 900), 3)
