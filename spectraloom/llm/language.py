@@ -82,9 +82,51 @@ def restored(text: str) -> str:
     return bytes(table.get(c, 0x3F) for c in text).decode("utf-8", errors="replace")
 
 
+#: Charsets that pages of letters beyond ASCII are written in (fixed values).
+_WRITTEN_IN = ("cp1251", "koi8-r", "koi8-u", "iso8859-5", "gb18030")
+_LETTERS = re.compile(r"[^\W\d_]")
+_HIGH = re.compile(r"[^\W\d_\x00-\x7f]")
+_LATIN_1 = re.compile(r"[À-ÖØ-öø-ÿ]")
+
+
+def looks_crossed(text: str) -> bool:
+    """Whether over half of the letters are Latin-1's upper ones, or are beyond ASCII and capitals: no language is written so."""
+    if text.isascii():
+        return False
+    letters, high = len(_LETTERS.findall(text)), _HIGH.findall(text)
+    if 2 * len(high) <= letters:
+        return False
+    return 2 * len(_LATIN_1.findall(text)) > letters or 2 * sum(map(str.isupper, high)) > letters
+
+
+def recoded(text: str) -> list[str]:
+    """``text`` as it would be if written in one charset and read with another, for the pairs whose bytes it can be."""
+    beyond, out = set("".join(_NON_ASCII.findall(text))), []
+    for name in _READ_AS:
+        if not beyond <= _BYTES[name].keys():
+            continue
+        sent = bytes(_BYTES[name].get(c, ord(c) & 0x7F) for c in text)
+        for own in _WRITTEN_IN:
+            made = sent.decode(own, errors="replace") if own != name else text
+            # A charset that the bytes do not fit is none.
+            if made != text and made not in out and made.count("\ufffd") * 100 <= len(made):
+                out.append(made)
+    return out
+
+
+def as_written(text: str, log_share: np.ndarray) -> str:
+    """``text`` as its page was written: UTF-8 restored, and crossed charsets told apart by the likelihood of the whole text."""
+    found = restored(text)
+    if found != text or not looks_crossed(text):
+        return found
+    options = [text, *recoded(text)]
+    # Likelihoods are summed over stretches of bounded length.
+    likely = [score(log_share, [o[at : at + 20_000] for at in range(0, len(o), 20_000)]).sum(axis=0).max() for o in options]
+    return options[int(np.argmax(likely))]
+
+
 def passages(text: str) -> list[tuple[int, str]]:
-    """(line number, sentence) of the running text: without tags, menus, titles, notices, footers and short quotations."""
-    text = restored(text)
+    """(line number, sentence) of the running text as written: without tags, menus, titles, notices, footers and short quotations."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -227,7 +269,7 @@ def segments(df: DataFrame, model: Model, ident: str, text: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                found = [passages(t) for t in part["text"]]
+                found = [passages(as_written(t, log_share)) for t in part["text"]]
                 sizes = np.array([len(own) for own in found])
                 page = np.repeat(np.arange(len(found)), sizes)
                 if not len(page):
