@@ -125,6 +125,29 @@ def as_written(text: str, log_share: np.ndarray) -> str:
     return options[int(np.argmax(likely))]
 
 
+#: A text with more than one replacement character in so many lost its bytes when it was decoded.
+LOST_ONE_IN = 20
+#: Charsets that a page's bytes are tried with (fixed values).
+_SENT_IN = ("utf-8", "cp1251", "koi8-r", "koi8-u", "iso8859-5", "gb18030", "iso8859-2", "cp1252")
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", re.S | re.I)
+_BLOCK = re.compile(r"</?(?:html|p|div|h\d|li|ul|ol|tr|td|th|table|br|nav|header|footer|main|section|article|aside|blockquote|pre|body|form)\b[^<>]*>", re.I)
+
+
+def visible(page: str) -> str:
+    """The text of an HTML page, a line per block; tags within lines are left to ``passages``."""
+    return _BLOCK.sub("\n", _SPACE.sub(" ", _HIDDEN.sub(" ", page)))
+
+
+def from_bytes(raw: bytes, log_share: np.ndarray) -> str | None:
+    """The text of a page from its bytes, in the charset under which it is likeliest; None if none fits the bytes."""
+    pages = (raw.decode(name, errors="replace") for name in _SENT_IN)
+    options = [visible(p) for p in pages if p.count("\ufffd") * 100 <= len(p)]
+    if not options:
+        return None
+    likely = [score(log_share, [o[at : at + 20_000] for at in range(0, len(o) or 1, 20_000)]).sum(axis=0).max() for o in options]
+    return options[int(np.argmax(likely))]
+
+
 def passages(text: str) -> list[tuple[int, str]]:
     """(line number, sentence) of the running text as written: without tags, menus, titles, notices, footers and short quotations."""
     if "<" in text:
@@ -253,13 +276,15 @@ def fit(samples: DataFrame, text: str = "text", lang: str = "lang", bound: int =
     return Model([(row.lang, row.text) for row in chosen])
 
 
-def segments(df: DataFrame, model: Model, ident: str, text: str) -> DataFrame:
+def segments(df: DataFrame, model: Model, ident: str, text: str, raw: str | None = None) -> DataFrame:
     """(id, segment, lang, confidence, chars): the passages of each document in one language, in order.
 
     A segment is a stretch of sentences of one language; ``chars`` counts
     their characters as the page was written, ``confidence`` is their mean
     posterior. Whole texts are read. Null texts and texts without sentences
-    have no segments; rows of one id are documents of their own.
+    have no segments; rows of one id are documents of their own. Where a text
+    lost its bytes on decoding it is made from the page's, if ``raw`` names
+    their column.
     """
     shipped = df.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
@@ -269,7 +294,8 @@ def segments(df: DataFrame, model: Model, ident: str, text: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                found = [passages(as_written(t, log_share)) for t in part["text"]]
+                texts = [(from_bytes(b, log_share) if b is not None else None) or as_written(t, log_share) for t, b in zip(part["text"], part["raw"])]
+                found = [passages(t) for t in texts]
                 sizes = np.array([len(own) for own in found])
                 page = np.repeat(np.arange(len(found)), sizes)
                 if not len(page):
@@ -284,7 +310,9 @@ def segments(df: DataFrame, model: Model, ident: str, text: str) -> DataFrame:
                 first = np.searchsorted(page[fresh], page[fresh], side="left")
                 yield pd.DataFrame({"id": part["id"].to_numpy()[page[fresh]], "segment": (np.arange(len(fresh)) - first + 1).astype("int32"), "lang": names[best[fresh]], "confidence": sure, "chars": weight.astype("int64")})
 
-    rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    lost = (F.length(text) - F.length(F.replace(F.col(text), F.lit("\ufffd"), F.lit("")))) * LOST_ONE_IN > F.length(text)
+    sent = F.when(lost, F.col(raw)) if raw else F.lit(None).cast("binary")
+    rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text"), sent.alias("raw")).filter("id is not null and text is not null")
     return rows.mapInPandas(run, "id bigint, segment int, lang string, confidence double, chars bigint")
 
 

@@ -14,7 +14,7 @@ LEAST, LEAST_OF = 200, {"zh": 100}
 
 def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     model = fit(table(spark, sf_dir, "lang_samples"))
-    return segments(table(spark, sf_dir, "documents"), model, "doc_id", "text"), model.languages
+    return segments(table(spark, sf_dir, "documents"), model, "doc_id", "text", "raw"), model.languages
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from spectraloom.llm.language import Model, document_languages, fit, infer, passages, restored, segments
+from spectraloom.llm.language import Model, as_written, document_languages, fit, from_bytes, infer, passages, restored, segments
 
 EN = "The river is near the garden and the people walk along the bridge when the lanterns are lit. "
 FR = "La rivière est près du jardin et les gens marchent sur le pont quand les lanternes sont allumées. "
@@ -17,6 +17,25 @@ def test_restored(charset):
     assert restored("") == "" and restored("plain") == "plain"
 
 
+@pytest.mark.parametrize("own, read_as", [("cp1251", "latin-1"), ("koi8-r", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r")])
+def test_crossed_charsets(own, read_as):
+    table = Model([(lang.lower(), text) for lang, text in SAMPLES]).table
+    assert as_written((RU * 3).encode(own).decode(read_as), table) == RU * 3
+    for text in (RU, FR, RU.upper(), "", "?", RU.encode().decode("latin-1")):
+        assert as_written(text, table) == restored(text)
+
+
+@pytest.mark.parametrize("charset", ["utf-8", "cp1251", "koi8-r"])
+def test_lost_bytes(spark, charset):
+    model = Model([(lang.lower(), text) for lang, text in SAMPLES])
+    page = f"<html><head><title>x</title></head><body><p>{RU}</p><ul><li>Меню</li></ul><p>{RU * 2}</p></body></html>".encode(charset)
+    lines = [line.strip() for line in from_bytes(page, model.table).split("\n") if line.strip()]
+    assert lines == [RU.strip(), "Меню", (RU * 2).strip()]
+    rows = [(1, "\ufffd" * 200, page), (2, EN * 3, page), (3, "\ufffd" * 200, None), (4, "\ufffd" * 9, b"")]
+    found = segments(spark.createDataFrame(rows, "doc_id long, text string, raw binary"), model, "doc_id", "text", "raw").filter("id in (1, 2)")
+    assert {(r.id, r.lang) for r in found.collect()} == {(1, "ru"), (2, "en")}
+
+
 def test_passages_leave_the_furniture_out():
     page = f"A title here\nHome | Archive | Shop\n{EN}“{FR.strip()}”\nWe place files. OK. Accept | Settings\n© 2020 · Contact\n"
     assert " ".join(s for _, s in passages(page)) == EN.strip()
