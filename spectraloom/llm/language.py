@@ -84,19 +84,19 @@ def restored(text: str) -> str:
 
 #: Charsets that pages of letters beyond ASCII are written in (fixed values).
 _WRITTEN_IN = ("cp1251", "koi8-r", "koi8-u", "iso8859-5", "gb18030")
-_LETTERS = re.compile(r"[^\W\d_]")
-_HIGH = re.compile(r"[^\W\d_\x00-\x7f]")
-_LATIN_1 = re.compile(r"[À-ÖØ-öø-ÿ]")
 
 
 def looks_crossed(text: str) -> bool:
-    """Whether over half of the letters are Latin-1's upper ones, or are beyond ASCII and capitals: no language is written so."""
+    """Whether over half of the letters are Latin ones beyond ASCII, or Cyrillic capitals: no language is written so."""
     if text.isascii():
         return False
-    letters, high = len(_LETTERS.findall(text)), _HIGH.findall(text)
+    codes = np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), dtype="uint32")
+    high = codes[codes >= 0xC0]
+    letters = len(high) + np.count_nonzero((codes | 32) - 97 < 26)
     if 2 * len(high) <= letters:
         return False
-    return 2 * len(_LATIN_1.findall(text)) > letters or 2 * sum(map(str.isupper, high)) > letters
+    latin, capitals = np.count_nonzero(high < 0x180), np.count_nonzero((high >= 0x400) & (high < 0x430))
+    return 2 * max(latin, capitals) > letters
 
 
 def recoded(text: str) -> list[str]:
