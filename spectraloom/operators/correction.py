@@ -10,12 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import clip01, hash_fraction, in_interval, is_close, number
 from spectraloom.operators import ordered
-from spectraloom.operators.ordered import largest_group, running
+from spectraloom.operators.ordered import MAX_GROUP_ROWS, following, largest_group, latest, running
 from spectraloom.operators.collate import capped_list
 from spectraloom.operators.quantile import attach, percentiles_of, ranked_values
 from spectraloom.session import fits, materialize
@@ -229,25 +229,30 @@ def monotone_anchors(points: DataFrame, method: str = "isotonic", max_fit: int =
 
     blocks = raw.select("grp", F.col("fdr_anchor").alias("low"), F.col("fdr_anchor").alias("high"), F.col("raw_corrected").alias("y"), weight.alias("w"))
     schema, turn, falls = f"grp {kind}, low double, high double, y double, w double", 0, True
-    order = Window.partitionBy("grp").orderBy("low")
     while falls:
         # One slice more every second time: no inner border of these slices is one of those.
         parts = max(2, -(-blocks.count() * 2 // max_fit)) + turn % 2
         sliced = materialize(blocks.repartitionByRange(parts, "grp", "low").withColumn("__slice", F.spark_partition_id()), "slices")
         blocks = materialize(sliced.groupBy("grp", "__slice").applyInPandas(pool, schema), "blocks")
-        falls = not blocks.withColumn("__before", F.lag("y").over(order)).filter(F.col("__before") > F.col("y") * (1 + 1e-12)).isEmpty()
+        pairs = following(blocks, ["grp"], ["low"], {"__after": "y"}, largest_group(blocks, ["grp"]) > max_fit, max_fit)
+        falls = not pairs.filter(F.col("y") > F.col("__after") * (1 + 1e-12)).isEmpty()
         turn += 1
     # Blocks follow each other without a gap: the last one that begins at or before an anchor holds it.
     marks = blocks.select("grp", F.col("low").alias("fdr_anchor"), clip01(F.col("y")).alias("__y"))
     fitted = attach(raw, marks, ["grp", "fdr_anchor"], "left")
-    latest = Window.partitionBy("grp").orderBy("fdr_anchor").rowsBetween(Window.unboundedPreceding, 0)
-    return fitted.withColumn("corrected", F.last("__y", True).over(latest)).drop("__y")
+    return latest(fitted, ["grp"], ["fdr_anchor"], "__y", "corrected", True, max_fit).drop("__y")
 
 
-def reversals(curve: DataFrame) -> DataFrame:
+def _beside(curve: DataFrame, columns: dict[str, str], max_rows: int) -> DataFrame:
+    """Each anchor with values of the next one of its condition; a condition of over ``max_rows`` anchors is ordered in slices."""
+    kept = materialize(curve, "curve")
+    large = not fits(kept, max_rows) and largest_group(kept, ["grp"]) > max_rows
+    return following(kept, ["grp"], ["fdr_anchor"], columns, large, max_rows)
+
+
+def reversals(curve: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Per condition: anchors, and how often the raw curve falls."""
-    order = Window.partitionBy("grp").orderBy("fdr_anchor")
-    marked = curve.withColumn("fall", (F.col("raw_corrected") - F.lag("raw_corrected").over(order) < -1e-15).cast("int"))
+    marked = _beside(curve, {"__after": "raw_corrected"}, max_rows).withColumn("fall", (F.col("__after") - F.col("raw_corrected") < -1e-15).cast("int"))
     return marked.groupBy("grp").agg(F.count(F.lit(1)).alias("anchors"), F.coalesce(F.sum("fall"), F.lit(0)).alias("reversals"), F.max(F.abs(F.col("corrected") - F.col("raw_corrected"))).alias("largest_adjustment"))
 
 
@@ -257,7 +262,7 @@ CELLS = 1024
 CELL_STRETCHES = 8
 
 
-def apply_curve(rows: DataFrame, curve: DataFrame, value: str, out: str = "CorrectedFDR") -> DataFrame:
+def apply_curve(rows: DataFrame, curve: DataFrame, value: str, out: str = "CorrectedFDR", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Adds ``out``: the linear blend of the anchors around ``value``; null where the condition has no curve or the value none.
 
     A stretch between two anchors is listed under every cell it touches, and
@@ -265,20 +270,20 @@ def apply_curve(rows: DataFrame, curve: DataFrame, value: str, out: str = "Corre
     its one by an equi-join on condition, cell and part. No window has to
     order the rows, and the work does not grow where anchors are dense.
     """
-    order = Window.partitionBy("grp").orderBy("fdr_anchor")
-    stretch = curve.select(F.col("grp").alias("__grp"), F.col("fdr_anchor").alias("x"), F.col("corrected").alias("y"), F.lead("fdr_anchor").over(order).alias("x2"), F.lead("corrected").over(order).alias("y2")).filter("x2 is not null")
+    both = _beside(curve.select("grp", "fdr_anchor", "corrected"), {"__x2": "fdr_anchor", "__y2": "corrected"}, max_rows)
+    stretch = both.select(F.col("grp").alias("__grp"), F.col("fdr_anchor").alias("__x"), F.col("corrected").alias("__y"), "__x2", "__y2").filter("__x2 is not null")
     cell = lambda v: F.least(F.floor(v * CELLS), F.lit(CELLS - 1)).cast("int")
     part = lambda v, c, n: F.greatest(F.lit(0), F.least(F.floor((v * CELLS - c) * n), n - 1)).cast("int")
-    listed = materialize(stretch.withColumn("cell", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x2"))))), "stretches")
+    listed = materialize(stretch.withColumn("__cell", F.explode(F.sequence(cell(F.col("__x")), cell(F.col("__x2"))))), "stretches")
     # At most CELLS rows per condition.
-    parts = listed.groupBy("__grp", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_STRETCHES).cast("int").alias("parts"))
-    cut = attach(listed, parts, ["__grp", "cell"]).withColumn("part", F.explode(F.sequence(part(F.col("x"), F.col("cell"), F.col("parts")), part(F.col("x2"), F.col("cell"), F.col("parts"))))).drop("parts")
+    parts = listed.groupBy("__grp", "__cell").agg(F.ceil(F.count(F.lit(1)) / CELL_STRETCHES).cast("int").alias("__parts"))
+    cut = attach(listed, parts, ["__grp", "__cell"]).withColumn("__part", F.explode(F.sequence(part(F.col("__x"), F.col("__cell"), F.col("__parts")), part(F.col("__x2"), F.col("__cell"), F.col("__parts"))))).drop("__parts")
     v = F.col(value)
-    known = parts.select(F.col("__grp").alias("__g"), F.col("cell").alias("__c"), "parts")
-    keyed = rows.withColumn("__cell", cell(v)).join(known, F.col("grp").eqNullSafe(F.col("__g")) & (F.col("__cell") == F.col("__c")), "left").withColumn("__part", part(v, F.col("__cell"), F.col("parts"))).drop("__g", "__c", "parts")
-    inside = F.col("grp").eqNullSafe(F.col("__grp")) & (F.col("__cell") == F.col("cell")) & (F.col("__part") == F.col("part")) & (v >= F.col("x")) & ((v < F.col("x2")) | (F.col("x2") == 1.0) & (v == 1.0))
-    blend = F.col("y") + (F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x")) * (v - F.col("x"))
-    return keyed.join(cut, inside, "left").withColumn(out, clip01(blend)).drop("__grp", "__cell", "__part", "cell", "part", "x", "y", "x2", "y2")
+    known = parts.select(F.col("__grp").alias("__g"), F.col("__cell").alias("__c"), "__parts")
+    keyed = rows.withColumn("__own_cell", cell(v)).join(known, F.col("grp").eqNullSafe(F.col("__g")) & (F.col("__own_cell") == F.col("__c")), "left").withColumn("__own_part", part(v, F.col("__own_cell"), F.col("__parts"))).drop("__g", "__c", "__parts")
+    inside = F.col("grp").eqNullSafe(F.col("__grp")) & (F.col("__own_cell") == F.col("__cell")) & (F.col("__own_part") == F.col("__part")) & (v >= F.col("__x")) & ((v < F.col("__x2")) | (F.col("__x2") == 1.0) & (v == 1.0))
+    blend = F.col("__y") + (F.col("__y2") - F.col("__y")) / (F.col("__x2") - F.col("__x")) * (v - F.col("__x"))
+    return keyed.join(cut, inside, "left").withColumn(out, clip01(blend)).drop("__grp", "__own_cell", "__own_part", "__cell", "__part", "__x", "__y", "__x2", "__y2")
 
 
 def error_statistics(predicted: DataFrame, keys: Sequence[str]) -> DataFrame:

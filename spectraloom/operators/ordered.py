@@ -78,3 +78,36 @@ def least_from_here(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     totals = sliced.groupBy(*keys, "__slice").agg(F.min(value).alias("__least"))
     joined = _carried(sliced.withColumn(name, F.min(value).over(inner)), keys, totals, {"__later": F.min("__least").over(later)})
     return joined.withColumn(name, F.least(name, "__later")).select(*sliced.columns, name)
+
+
+def _place(order: Sequence[str]) -> Column:
+    """A row's place in ``order`` as one comparable value, nulls last."""
+    return F.struct(*[c for name in order for c in (F.col(name).isNull(), F.col(name))])
+
+
+def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], large: bool, slice_rows: int | None = None) -> DataFrame:
+    """Adds, under the names in ``columns``, the columns' values in the next row within ``keys``; null in the last row."""
+    if not large:
+        window = Window.partitionBy(*keys).orderBy(*forwards(order))
+        return df.withColumns({name: F.lead(column).over(window) for name, column in columns.items()})
+    sliced = in_slices(df, keys, order, df.count(), slice_rows)
+    inner = Window.partitionBy(*keys, "__slice").orderBy(*forwards(order))
+    next_slice = Window.partitionBy(*keys).orderBy("__slice")
+    values = F.struct(*[F.col(column).alias(name) for name, column in columns.items()])
+    totals = sliced.groupBy(*keys, "__slice").agg(F.min_by(values, _place(order)).alias("__first"))
+    joined = _carried(sliced.withColumn("__next", F.lead(values).over(inner)), keys, totals, {"__first": F.lead("__first").over(next_slice)})
+    return joined.withColumn("__next", F.coalesce("__next", "__first")).select(*df.columns, *[F.col(f"__next.{name}").alias(name) for name in columns])
+
+
+def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, large: bool, slice_rows: int | None = None) -> DataFrame:
+    """Adds the last ``value`` that is not null up to and including each row within ``keys``."""
+    if not large:
+        window = Window.partitionBy(*keys).orderBy(*forwards(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(value, True).over(window))
+    sliced = in_slices(df, keys, order, df.count(), slice_rows)
+    inner = Window.partitionBy(*keys, "__slice").orderBy(*forwards(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col(value).isNotNull(), _place(order))
+    totals = sliced.groupBy(*keys, "__slice").agg(F.max_by(value, known).alias("__last"))
+    joined = _carried(sliced.withColumn(name, F.last(value, True).over(inner)), keys, totals, {"__before": F.last("__last", True).over(before)})
+    return joined.withColumn(name, F.coalesce(name, "__before")).select(*df.columns, name)

@@ -45,6 +45,22 @@ def test_running_over_slices(spark, monkeypatch, large):
     assert {r.n: (r.total, r.least) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_neighbours_over_slices(spark, large):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, rng.random()]), n, rng.choice([None, None, None, n])) for n in range(400)] + [("c", 1.0, 400, None)]
+    df = spark.createDataFrame(rows, "g string, v double, n int, x int")
+    got = ordered.following(df, ["g"], ["v", "n"], {"after": "n", "x2": "x"}, large, 40)
+    got = ordered.latest(got, ["g"], ["v", "n"], "x", "last", large, 40)
+    want = {}
+    for g in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        for k, r in enumerate(own):
+            beside = own[k + 1] if k + 1 < len(own) else (None,) * 4
+            want[r[2]] = (beside[2], beside[3], next((q[3] for q in reversed(own[: k + 1]) if q[3] is not None), None))
+    assert {r.n: (r.after, r.x2, r["last"]) for r in got.collect()} == want
+
+
 def test_exact_percentiles(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(["a", "b", None][k % 3], float(np.round(rng.normal(), 1)) if k % 7 else None) for k in range(400)] + [("c", 5.0), ("d", None)]
@@ -130,6 +146,10 @@ def test_isotonic_in_slices(spark, noise):
     whole, sliced = (sorted(correction.monotone_anchors(points, max_fit=m).collect(), key=key) for m in (1_000_000, 100))
     assert [key(r) for r in whole] == [key(r) for r in sliced] and len(whole) == 961
     assert np.allclose([r.corrected for r in whole], [r.corrected for r in sliced], atol=1e-9)
+    curve = correction.monotone_anchors(points)
+    probes = spark.createDataFrame([(g, k / 50) for g in ("a", "b", "z", None) for k in range(51)], "grp string, x double")
+    for of in (lambda m: correction.reversals(curve, m), lambda m: correction.apply_curve(probes, curve, "x", max_rows=m)):
+        assert sorted(map(str, of(50).collect())) == sorted(map(str, of(1_000_000).collect()))
 
 
 def test_quantile_bins_against_numpy(spark):
